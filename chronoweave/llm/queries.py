@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import bpe, packing, sharding
+from chronoweave.llm import bpe, merkle, packing, sharding, simhash
 
 
 def vocabulary() -> str:
@@ -38,11 +38,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), vocabulary())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id", "class_id")
+
+
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.against_edit(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_bpe": op4_bpe,
+        "op5_simhash": op5_simhash,
+        "op10_merkle_fingerprints": op10_merkle_fingerprints,
     }
 
 
