@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import bpe, merkle, packing, sharding, simhash
+from chronoweave.llm import bpe, license_scan, merkle, packing, sharding, simhash
 
 
 def vocabulary() -> str:
@@ -26,6 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir)).drop("spans")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_sharding": op2_sharding,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_bpe": op4_bpe,
