@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import bpe, license_scan, merkle, packing, sharding, simhash
+from chronoweave.llm import bpe, langid, license_scan, merkle, packing, sharding, simhash, suffix_dedup
 
 
 def vocabulary() -> str:
@@ -46,6 +46,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id", "class_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(_documents(spark, sf_dir))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edit(_documents(spark, sf_dir))
 
@@ -57,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_bpe": op4_bpe,
         "op5_simhash": op5_simhash,
+        "op6_language_id": op6_language_id,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
     }
 
