@@ -1,4 +1,10 @@
-"""A corpus pipeline: every stage applies one operator to what the one before kept."""
+"""A corpus pipeline: every stage applies one operator to what the one before kept.
+
+Stages: language identification (documents without a language go), SimHash
+near-dedup (one document of each group stays), suffix-array dedup (passages
+that repeat across documents stay once) and best-fit packing.  All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +12,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import packing
+from chronoweave.llm import langid, packing, simhash, suffix_dedup
+from chronoweave.llm.common import Scratch
 from chronoweave.llm.queries import vocabulary
 
-#: No stage before packing can be put into SQL as a whole; tests hold it against brute force.
+#: SQL cannot express a network, XXH64 or BPE; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language can be told."""
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later copies of passages of 50 words or more."""
+    return suffix_dedup.strip(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of at most 1024 tokens."""
     return packing.pack(docs, vocabulary())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("simhash_dedup", near_dedup),
+    ("suffix_array_dedup", passage_dedup),
+    ("best_fit_packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.table(docs)
     return docs
