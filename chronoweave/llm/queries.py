@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import bpe, embed_dedup, langid, license_scan, merkle, packing, sharding, simhash, suffix_dedup
+from chronoweave.llm import bpe, class_lm, embed_dedup, langid, license_scan, merkle, packing, sharding, simhash, suffix_dedup
 
 
 def vocabulary() -> str:
@@ -58,6 +58,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_documents(spark, sf_dir))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edit(_documents(spark, sf_dir))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_class_lm": op9_class_lm,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
     }
 
