@@ -351,3 +351,190 @@ def G1_greedy_selection(spark, sf):
     from chronoweave.operators.selection import select_frames
 
     return select_frames(grouped(spark, sf), "s", "group_id", "seq", "toks")
+
+
+# Second part: further joins, filters, sinks' projections and evaluation.
+
+
+@query("SELECT v.vec_id, v.label, coalesce(e.value, 1.0) AS quality FROM embeddings v LEFT JOIN events e ON v.vec_id = e.event_id")
+def J3_quality_default(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_id").alias("vec_id"), "value")
+    return read(spark, sf, "embeddings").select("vec_id", "label").join(e, "vec_id", "left").select("vec_id", "label", F.coalesce("value", F.lit(1.0)).alias("quality"))
+
+
+@query("SELECT d.doc_id, size(e.embedding) AS dim FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id".replace("size(", "len("))
+def J2_embedding_join(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").cast("long").alias("dim"))
+    return read(spark, sf, "documents").select("doc_id").join(e, "doc_id", "left")
+
+
+@query("SELECT a.label, a.vec_id AS a, count(*)::BIGINT AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id GROUP BY 1, 2")
+def J11_later_in_group(spark, sf):
+    """How many rows of a group come later: counted by a window, not by pairing."""
+    w = Window.partitionBy("label").orderBy(F.desc("vec_id"))
+    return read(spark, sf, "embeddings").select("label", F.col("vec_id").alias("a"), (F.row_number().over(w) - 1).cast("long").alias("n")).where("n > 0")
+
+
+@query("WITH e AS (SELECT *, event_type = (SELECT min(event_type) FROM events) AS gt FROM events), g AS (SELECT *, sum(gt::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM e) SELECT user_id, coalesce(k, 0)::BIGINT AS stretch, sum((NOT gt)::INT)::BIGINT AS between_gt FROM g GROUP BY 1, 2")
+def J12_between_truths(spark, sf):
+    e = read(spark, sf, "events")
+    kind = e.agg(F.min("event_type").alias("k0"))
+    d = e.crossJoin(F.broadcast(kind)).withColumn("gt", (F.col("event_type") == F.col("k0")).cast("long"))  # one row is broadcast
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("stretch", F.coalesce(F.sum("gt").over(w), F.lit(0)))
+    return d.groupBy("user_id", "stretch").agg(F.sum(1 - F.col("gt")).alias("between_gt"))
+
+
+@query("WITH " + PAIRS + " SELECT s, seq_a, CASE WHEN d_jaccard < 0.5 THEN 0 ELSE (score >= 0.9)::INT END AS pred FROM g")
+def PF3_consistency_gate(spark, sf):
+    return pairs(spark, sf).select("s", "seq_a", F.when(F.col("d_jaccard") < 0.5, 0).otherwise((F.col("score") >= TAU).cast("int")).alias("pred"))
+
+
+@query("WITH " + PAIRS + " SELECT s, seq_a, (len(toks_a) >= 3 AND loss IS NOT NULL) AS ocr_valid, pres IS NOT NULL AS has_loss FROM g")
+def PF4_signal_validity(spark, sf):
+    p = pairs(spark, sf)
+    return p.select("s", "seq_a", ((F.size("toks_a") >= 3) & F.col("loss").isNotNull()).alias("ocr_valid"), F.col("pres").isNotNull().alias("has_loss"))
+
+
+@query("WITH " + PAIRS + GROUPS + " SELECT s, seq, group_id FROM k WHERE group_id BETWEEN 2 AND 3")
+def PF10_group_range(spark, sf):
+    return grouped(spark, sf).where(F.col("group_id").between(2, 3)).select("s", "seq", "group_id")
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe FROM part")
+def PF14_sanitise(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.regexp_replace("p_name", "[^A-Za-z0-9_-]", "_").alias("safe"))
+
+
+@query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 1 ELSE (value >= 50)::INT END AS keep FROM events")
+def PF5_threshold(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf, "events").select("event_id", F.when(F.row_number().over(w) == 1, 1).otherwise((F.col("value") >= 50).cast("int")).alias("keep"))
+
+
+@query("WITH b AS (SELECT s_suppkey, s_nationkey, round(s_acctbal, 2) AS x FROM supplier) SELECT s_nationkey, min(x) - 10 AS x1, max(x) + 10 AS x2, round(100.0 * (max(x) - min(x)) / 12000, 4) AS retained FROM b GROUP BY 1")
+def F29_crop_box(spark, sf):
+    b = read(spark, sf, "supplier").select("s_nationkey", F.round("s_acctbal", 2).alias("x"))
+    return b.groupBy("s_nationkey").agg((F.min("x") - 10).alias("x1"), (F.max("x") + 10).alias("x2"), F.round(100.0 * (F.max("x") - F.min("x")) / 12000, 4).alias("retained"))
+
+
+@query("WITH q AS (SELECT quantile_cont(l_tax, 0.5) AS med, quantile_cont(l_tax, 0.99) AS q99 FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN q99 > 0 THEN least(coalesce(nullif(l_tax, 0), med), 10 * q99) ELSE coalesce(nullif(l_tax, 0), med) END AS tax FROM lineitem, q")
+def F30_impute_clip(spark, sf):
+    d = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    q = d.agg(F.percentile("l_tax", 0.5).alias("med"), F.percentile("l_tax", 0.99).alias("q99"))  # one row is broadcast
+    filled = F.coalesce(F.nullif("l_tax", F.lit(0.0)), F.col("med"))
+    return d.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.when(F.col("q99") > 0, F.least(filled, 10 * F.col("q99"))).otherwise(filled).alias("tax"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN value < 0 THEN 'negative' ELSE 'above' END AS violation FROM events WHERE value < 0 OR value > 100")
+def F31_violations(spark, sf):
+    return read(spark, sf, "events").where("value < 0 or value > 100").select("event_id", "user_id", F.when(F.col("value") < 0, "negative").otherwise("above").alias("violation"))
+
+
+@query("SELECT event_id, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS js FROM events")
+def F36_json(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("js"))
+
+
+@query("SELECT event_id, concat_ws(',', event_id::VARCHAR, user_id::VARCHAR, event_type) AS line FROM events")
+def SK3_csv_row(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type").alias("line"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, '') AS label, coalesce(l.toxic::VARCHAR, '') AS note FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def SK5_truth_projection(spark, sf):
+    e = F.lit("")
+    return read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), e).alias("label"), F.coalesce(F.col("toxic").cast("string"), e).alias("note"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'final' ELSE 'state' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS r FROM labels WHERE quality = 1) WHERE r = 1")
+def SC8_keyframe_truth(spark, sf):
+    d = sq.keep_first(read(spark, sf, "labels").where("quality = 1"), ["doc_id"], [F.desc("quality"), F.desc("toxic")])
+    return d.select("doc_id", F.when(F.col("toxic") == 1, "final").otherwise("state").alias("role"))
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src0', 'src1') AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def SK12_unmarked(spark, sf):
+    d = read(spark, sf, "documents").where(F.col("source").isin("src0", "src1")).select("doc_id")
+    return d.join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT source, count(*)::BIGINT AS frames, sum((l.toxic = 1)::INT)::BIGINT AS final, sum((l.toxic = 0)::INT)::BIGINT AS state, round(1 - sum((l.quality = 1)::INT) / count(*)::DOUBLE, 4) AS compression FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def AG31_role_counts(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels"), "doc_id")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("toxic") == 1).alias("final"), F.count_if(F.col("toxic") == 0).alias("state"), F.round(1 - F.count_if(F.col("quality") == 1) / F.count(F.lit(1)), 4).alias("compression"))
+
+
+@query("SELECT quality AS label, toxic AS pred, count(*)::BIGINT AS n FROM labels GROUP BY GROUPING SETS ((quality, toxic), (quality), ())")
+def AG30_grouping_sets(spark, sf):
+    return read(spark, sf, "labels").rollup(F.col("quality").alias("label"), F.col("toxic").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_returnflag, round(avg(l_extendedprice), 2) AS mean, quantile_cont(l_extendedprice, 0.5) AS med, round(stddev_pop(l_extendedprice), 2) AS std, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1")
+def AG22_category_stats(spark, sf):
+    x = "l_extendedprice"
+    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(x), 2).alias("mean"), F.percentile(x, 0.5).alias("med"), F.round(F.stddev_pop(x), 2).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+
+
+@query("SELECT lam, l_returnflag, sum((l_discount >= lam)::INT)::BIGINT AS kept, sum((l_discount < lam)::INT)::BIGINT AS dropped FROM lineitem, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.08::DOUBLE)) t(lam) GROUP BY 1, 2")
+def AG24_sweep(spark, sf):
+    """One pass: each threshold is a pair of conditional counts, so rows are not multiplied."""
+    lams = [0.02, 0.05, 0.08]
+    d = read(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[F.struct(F.lit(v).alias("lam"), F.count_if(F.col("l_discount") >= v).alias("kept"), F.count_if(F.col("l_discount") < v).alias("dropped")).alias(f"x{i}") for i, v in enumerate(lams)])
+    return d.select("l_returnflag", F.explode(F.array(*[f"x{i}" for i in range(3)])).alias("x")).select("x.lam", "l_returnflag", "x.kept", "x.dropped")
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::BIGINT AS r FROM part QUALIFY r <= 5")
+def W13_top_k(spark, sf):
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return read(spark, sf, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("r")).where("r <= 5")
+
+
+@query("WITH c AS (SELECT *, sum(CASE WHEN ts - prev <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM c GROUP BY user_id, k")
+def ST4_sessions(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTES")
+    d = read(spark, sf, "events").withColumn("new", F.when(gap, 0).otherwise(1)).withColumn("k", F.sum("new").over(w))
+    return d.groupBy("user_id", "k").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n")).drop("k")
+
+
+@query("SELECT source, doc_id, CASE WHEN quality = 1 AND n_chars > 1500 THEN 'TP' WHEN quality = 1 THEN 'missed: ' || coalesce(lang, '?') WHEN n_chars > 1500 THEN 'extra' ELSE 'TN' END AS diagnosis FROM documents JOIN labels USING (doc_id)")
+def F34_diagnosis(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").join(read(spark, sf, "labels"), "doc_id")
+    good, long = F.col("quality") == 1, F.col("n_chars") > 1500
+    return d.select("source", "doc_id", F.when(good & long, "TP").when(good, F.concat(F.lit("missed: "), F.coalesce("lang", F.lit("?")))).when(long, "extra").otherwise("TN").alias("diagnosis"))
+
+
+@query("SELECT source, min_by(doc_id, doc_id) FILTER (quality = 0) AS first_fp, min_by(doc_id, doc_id) FILTER (quality = 1) AS first_fn FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def AG25_failure_harvest(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels"), "doc_id")
+    return d.groupBy("source").agg(F.min(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("first_fp"), F.min(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("first_fn"))
+
+
+@query("WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(v, v)), 4) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS first FROM e")
+def F12_unit_vectors(spark, sf):
+    d = read(spark, sf, "embeddings")
+    return d.select("vec_id", F.round(vec.norm(F.col("embedding")), 4).alias("norm"), F.round(vec.unit(F.col("embedding"))[0], 4).alias("first"))
+
+
+TILE = "t AS (SELECT vec_id, label, list_transform(embedding, lambda x: least(255.0, greatest(0.0, floor((x::DOUBLE + 0.5) * 255)))) AS px FROM embeddings)"
+
+
+def tiles(spark, sf) -> DataFrame:
+    px = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((x.cast("double") + 0.5) * 255).cast("double"))))
+    return read(spark, sf, "embeddings").select("vec_id", "label", px.alias("px"))
+
+
+@query("WITH " + TILE + " SELECT vec_id, round(list_avg(px), 4) AS mean, round(list_stddev_pop(px), 4) AS std FROM t")
+def AG17_pixel_stats(spark, sf):
+    total = lambda f: F.aggregate("px", F.lit(0.0), lambda s, x: s + f(x))
+    n = F.size("px")
+    d = tiles(spark, sf).withColumn("m", total(lambda x: x) / n)
+    return d.select("vec_id", F.round("m", 4).alias("mean"), F.round(F.sqrt(F.aggregate(F.transform("px", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda s, x: s + x) / n), 4).alias("std"))
+
+
+@query("WITH " + TILE + ", p AS (SELECT vec_id, px, lead(px) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM t) SELECT vec_id, round(list_avg(list_transform(range(1, 65), lambda i: abs(px[i] - n[i]))), 4) AS mad, len(list_filter(range(1, 65), lambda i: abs(px[i] - n[i]) > 15))::BIGINT AS changed FROM p WHERE n IS NOT NULL")
+def F23_AG29_pixel_change(spark, sf):
+    p = sq.adjacent(tiles(spark, sf), "label", "vec_id", ["vec_id", "px"])
+    diff = F.zip_with("px_a", "px_b", lambda a, b: F.abs(a - b))
+    return p.select(F.col("vec_id_a").alias("vec_id"), F.round(F.aggregate(diff, F.lit(0.0), lambda s, x: s + x) / F.size("px_a"), 4).alias("mad"), F.size(F.filter(diff, lambda x: x > 15)).cast("long").alias("changed"))
