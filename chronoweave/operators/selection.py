@@ -3,42 +3,121 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cover(rows: list[tuple[int, list[str]]], mode: str = "B", tau: float = 0.95, epsilon: float = 0.02) -> tuple[list[int], float, str]:
-    """(chosen, coverage, reason) for (seq, tokens) rows of one group.
+@dataclass
+class Frame:
+    """A candidate; cells, quality, vector and event are read by the modes that use them."""
+
+    seq: int
+    tokens: list[str]
+    cells: frozenset = frozenset()
+    quality: float = 1.0
+    vector: np.ndarray | None = None
+    event: float = 0.0
+
+
+@dataclass
+class Options:
+    """tau: coverage that ends the search; epsilon: least gain that makes a frame eligible."""
+
+    tau: float = 0.95
+    epsilon: float = 0.02
+    w_spatial: float = 0.15
+    w_vector: float = 0.2
+    w_event: float = 0.2
+
+
+def _similarities(frames: list[Frame]) -> np.ndarray:
+    """Cosines between frames; a frame without a vector is like itself alone."""
+    n = len(frames)
+    dim = max((len(f.vector) for f in frames if f.vector is not None), default=1)
+    m = np.zeros((n, dim))
+    for i, f in enumerate(frames):
+        if f.vector is not None and len(f.vector) == dim:
+            m[i] = np.asarray(f.vector, float) / max(float(np.linalg.norm(f.vector)), 1e-12)
+    sim = m @ m.T
+    np.fill_diagonal(sim, 1.0)
+    return sim
+
 
-    Mode A covers distinct tokens, mode B as many slots of a token as its
-    largest count in a frame.  Frames that add less than ``epsilon`` of the
-    universe are not eligible; of equal gains the earlier frame wins.
+def choose(frames: list[Frame], mode: str = "B", o: Options | None = None) -> tuple[list[int], float, str]:
+    """(chosen seqs, coverage, stopping reason) of one group.
+
+    A covers distinct tokens, B as many slots of a token as its largest count
+    in a frame; C adds 16 x 16 cells; D weighs gains by quality; E1 by distance
+    to what is chosen, E2 also by change events; F ranks by facility location
+    (eligibility and stopping stay lexical).  Scores, then gains, then quality
+    tie within 1e-7; then the earlier frame wins.
     """
-    if not rows:
+    o = o or Options()
+    if not frames:
         return [], 0.0, "empty_group"
-    bags = {seq: Counter(dict.fromkeys(t, 1) if mode == "A" else t) for seq, t in rows}
+    frames = sorted(frames, key=lambda f: f.seq)
+    bags = [Counter(dict.fromkeys(f.tokens, 1) if mode == "A" else f.tokens) for f in frames]
     universe: Counter = Counter()
-    for bag in bags.values():
+    for bag in bags:
         universe |= bag
-    total, have, chosen = max(universe.total(), 1), Counter(), []
+    total = max(universe.total(), 1)
+    everywhere = frozenset().union(*(f.cells for f in frames)) if mode in ("C", "D", "E1", "E2") else frozenset()
+    w = o.w_spatial if everywhere else 0.0
+    sim = _similarities(frames) if mode in ("E1", "E2", "F") else None
+    have, seen, chosen = Counter(), frozenset(), []
+
+    def gain(i: int) -> float:
+        new = (bags[i] - have).total() / total
+        return (1 - w) * new + w * len(frames[i].cells - seen) / max(len(everywhere), 1)
+
+    def score(i: int, g: float) -> float:
+        if mode == "F":
+            best = sim[chosen].max(axis=0) if chosen else np.zeros(len(frames))
+            return float(np.maximum(0.0, sim[i] - best).sum() / len(frames))
+        quality = frames[i].quality if mode in ("D", "E1", "E2") else 1.0
+        far = o.w_vector * float(((1 - sim[i][chosen]) / 2).clip(0, 1).min()) if mode in ("E1", "E2") and chosen else 0.0
+        return g * quality * (1 + far + (o.w_event * frames[i].event if mode == "E2" else 0.0))
+
+    def better(x: tuple, y: tuple) -> bool:
+        for a, b in zip(x, y):
+            if abs(a - b) > 1e-7:
+                return a > b
+        return False
+
     while True:
-        if have.total() / total >= tau:
+        coverage = (1 - w) * have.total() / total + w * len(seen) / max(len(everywhere), 1)
+        if coverage >= o.tau:
             reason = "coverage_target_reached"
             break
-        gains = [((bag - have).total() / total, -seq) for seq, bag in bags.items() if seq not in chosen]
-        best = max((g for g in gains if g[0] >= epsilon), default=None)
+        best, pick = None, -1
+        for i in range(len(frames)):
+            if i in chosen or (g := gain(i)) < o.epsilon:
+                continue
+            rank = (score(i, g), g, frames[i].quality)
+            if best is None or better(rank, best):
+                best, pick = rank, i
         if best is None:
             reason = "raw_information_floor"
             break
-        chosen.append(-best[1])
-        have |= bags[-best[1]]
+        chosen.append(pick)
+        have |= bags[pick]
+        seen |= frames[pick].cells
     if not chosen:
         reason = "fallback_max_standalone_info"
-        chosen = [-max((bag.total() / total, -seq) for seq, bag in bags.items())[1]]
-        have = Counter() if not universe else bags[chosen[0]]
-    return sorted(chosen), round(have.total() / total, 4), reason
+        chosen = [max(range(len(frames)), key=lambda i: (gain(i), frames[i].quality, -frames[i].seq))]
+        have = Counter(bags[chosen[0]])
+        seen = frames[chosen[0]].cells
+        coverage = (1 - w) * have.total() / total + w * len(seen) / max(len(everywhere), 1)
+    return sorted(frames[i].seq for i in chosen), round(coverage, 4), reason
+
+
+def cover(rows: list[tuple[int, list[str]]], mode: str = "B", tau: float = 0.95, epsilon: float = 0.02) -> tuple[list[int], float, str]:
+    """``choose`` for (seq, tokens) rows."""
+    return choose([Frame(q, t) for q, t in rows], mode, Options(tau, epsilon))
 
 
 def select_frames(df: DataFrame, session: str, group: str, seq: str, tokens: str, mode: str = "B", tau: float = 0.95, epsilon: float = 0.02) -> DataFrame:
