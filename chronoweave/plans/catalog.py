@@ -538,3 +538,96 @@ def F23_AG29_pixel_change(spark, sf):
     p = sq.adjacent(tiles(spark, sf), "label", "vec_id", ["vec_id", "px"])
     diff = F.zip_with("px_a", "px_b", lambda a, b: F.abs(a - b))
     return p.select(F.col("vec_id_a").alias("vec_id"), F.round(F.aggregate(diff, F.lit(0.0), lambda s, x: s + x) / F.size("px_a"), 4).alias("mad"), F.size(F.filter(diff, lambda x: x > 15)).cast("long").alias("changed"))
+
+
+# Third part: boxes, listings, and evaluation by role.
+
+BOXES = """b AS (SELECT doc_id, least(1.0, n_chars / 4000.0::DOUBLE) AS x2, (doc_id % 10) / 10.0::DOUBLE AS y1, (doc_id % 10) / 10.0::DOUBLE + 0.08 AS y2 FROM documents)"""
+
+
+def boxes(spark, sf) -> DataFrame:
+    y = (F.col("doc_id") % 10) / F.lit(10.0)
+    x2 = F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0))
+    return read(spark, sf, "documents").select("doc_id", "source", F.array(F.lit(0.0), y, x2, y + 0.08).alias("box"))
+
+
+@query("WITH " + BOXES + " SELECT doc_id, ((least(15, floor(x2 * 16)) + 1) * (least(15, floor(least(1.0, y2) * 16)) - least(15, floor(y1 * 16)) + 1))::BIGINT AS n_cells FROM b")
+def F8_cells(spark, sf):
+    from chronoweave.operators.layout import cells
+
+    return boxes(spark, sf).select("doc_id", F.size(F.array_distinct(cells(F.col("box")))).cast("long").alias("n_cells"))
+
+
+@query("WITH " + BOXES + ", c AS (SELECT source, gx * 16 + gy AS cell FROM (SELECT doc_id, unnest(range(0, least(15, floor(x2 * 16))::BIGINT + 1)) AS gx, y1, y2 FROM b) JOIN (SELECT doc_id AS d2, source FROM documents) ON doc_id = d2, range(0, 16) r(gy) WHERE gy BETWEEN least(15, floor(y1 * 16)) AND least(15, floor(least(1.0, y2) * 16))) SELECT source, count(DISTINCT cell)::BIGINT AS n_cells FROM c GROUP BY 1")
+def AG16_spatial_universe(spark, sf):
+    from chronoweave.operators.layout import cells
+
+    c = boxes(spark, sf).select("source", F.explode(cells(F.col("box"))).alias("cell"))
+    return c.groupBy("source").agg(F.count_distinct("cell").alias("n_cells"))
+
+
+@query("WITH " + BOXES + " SELECT doc_id FROM b WHERE x2 <= 0.95 AND y1 >= 0.08 AND y2 <= 0.62")
+def PF12_editor_region(spark, sf):
+    b = F.col("box")
+    return boxes(spark, sf).where((b[2] <= 0.95) & (b[1] >= 0.08) & (b[3] <= 0.62)).select("doc_id")
+
+
+@query("WITH " + BOXES + " SELECT doc_id, round(x2 * (y2 - y1) * 100, 4) AS area_pct FROM b WHERE x2 * (y2 - y1) * 100 >= 2")
+def PF13_area_filter(spark, sf):
+    b = F.col("box")
+    area = b[2] * (b[3] - b[1]) * 100
+    return boxes(spark, sf).where(area >= 2).select("doc_id", F.round(area, 4).alias("area_pct"))
+
+
+@query("WITH " + TRUTH + " SELECT count(*) FILTER (kind = 'TP')::BIGINT AS tp, round(count(*) FILTER (kind = 'TP' AND toxic = 1) / nullif(count(*) FILTER (kind <> 'FP' AND toxic = 1), 0)::DOUBLE, 4) AS recall_final, round(count(*) FILTER (kind = 'TP' AND toxic = 0) / nullif(count(*) FILTER (kind <> 'FP' AND toxic = 0), 0)::DOUBLE, 4) AS recall_state FROM j LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON j.doc_id = l.doc_id")
+def AG3_role_recall(spark, sf):
+    role = read(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = truth(spark, sf).join(role, "doc_id", "left")
+    tp = lambda v: F.count_if((F.col("kind") == "TP") & (F.col("toxic") == v))
+    own = lambda v: F.nullif(F.count_if((F.col("kind") != "FP") & (F.col("toxic") == v)), F.lit(0))
+    return d.agg(F.count_if(F.col("kind") == "TP").alias("tp"), F.round(tp(1) / own(1), 4).alias("recall_final"), F.round(tp(0) / own(0), 4).alias("recall_state"))
+
+
+@query("WITH " + PAIRS + GROUPS + ", z AS (SELECT s, group_id, count(*) AS n FROM k GROUP BY 1, 2) SELECT s, sum(n)::BIGINT AS n_in, count(*)::BIGINT AS n_selected, round(1 - count(*) / sum(n)::DOUBLE, 4) AS compression FROM z GROUP BY 1")
+def AG7_selection_summary(spark, sf):
+    z = grouped(spark, sf).groupBy("s", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    return z.groupBy("s").agg(F.sum("n").alias("n_in"), F.count(F.lit(1)).alias("n_selected"), F.round(1 - F.count(F.lit(1)) / F.sum("n"), 4).alias("compression"))
+
+
+@query("WITH " + PAIRS + GROUPS + ", n AS (SELECT s, group_id, list(seq ORDER BY seq) AS frames FROM k GROUP BY 1, 2) SELECT s, group_id, unnest(frames) AS seq FROM n")
+def PF16_flatten_groups(spark, sf):
+    n = grouped(spark, sf).groupBy("s", "group_id").agg(F.array_sort(F.collect_list("seq")).alias("frames"))
+    return n.select("s", "group_id", F.explode("frames").alias("seq"))
+
+
+@query("WITH " + PAIRS + f" SELECT s, seq_a FROM g WHERE (d_jaccard >= {TAU})::INT <> (score >= {TAU})::INT")
+def PF9_divergent(spark, sf):
+    return pairs(spark, sf).where((F.col("d_jaccard") >= TAU) != (F.col("score") >= TAU)).select("s", "seq_a")
+
+
+@query("WITH a AS (SELECT doc_id, quality AS role FROM labels), t AS (SELECT doc_id, 1 AS role FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(a.doc_id, t.doc_id) AS doc_id, coalesce(t.role, a.role)::INT AS role FROM a FULL JOIN t ON a.doc_id = t.doc_id WHERE a.role IS NULL OR t.role IS NULL OR a.role <> t.role")
+def PF17_role_toggle(spark, sf):
+    """The same role again deletes, another one overwrites."""
+    a = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("old"))
+    t = read(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("new"))
+    d = a.join(t, "doc_id", "full").where("old is null or new is null or old <> new")
+    return d.select("doc_id", F.coalesce("new", "old").alias("role"))
+
+
+@query("SELECT source, count(*)::BIGINT AS n, max(n_chars) > 3000 AS has_runs FROM documents GROUP BY 1")
+def SC11_sessions(spark, sf):
+    return read(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.max("n_chars") > 3000).alias("has_runs"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '[=<>+]') THEN 'formula' WHEN regexp_matches(url, '[A-Za-z]') THEN 'text' ELSE 'other' END AS kind, length(url)::BIGINT AS n FROM pages")
+def F18_block_type(spark, sf):
+    u = F.col("url")
+    return read(spark, sf, "pages").select("page_id", F.when(u.rlike("[=<>+]"), "formula").when(u.rlike("[A-Za-z]"), "text").otherwise("other").alias("kind"), F.length(u).cast("long").alias("n"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, value, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events) SELECT user_id, CASE WHEN max(value) FILTER (part = 4) > 50 THEN 'persistent' WHEN max(value) FILTER (part = 1) > 50 THEN 'transient' ELSE 'settled' END AS pattern FROM e GROUP BY 1")
+def AG23_patterns(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf, "events").withColumn("part", F.ntile(4).over(w))
+    top = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
+    return e.groupBy("user_id").agg(F.when(top(4) > 50, "persistent").when(top(1) > 50, "transient").otherwise("settled").alias("pattern"))
