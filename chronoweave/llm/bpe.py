@@ -26,7 +26,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
-from chronoweave.llm.common import ddl, id_text, map_docs
+from chronoweave.llm.common import ddl, id_text, map_docs, worker_cache
 from chronoweave.llm.pretokens import Pieces, encode_texts
 
 
@@ -41,16 +41,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b if b in prints else next(spare)): b for b in range(256)}
 
 
+def load(path: str) -> tuple[dict[bytes, int], dict[str, int], list[tuple[bytes, bytes]]]:
+    """Tokens, special tokens and merges of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet = byte_alphabet()
+    raw = lambda s: bytes(alphabet[ch] for ch in s)
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+    return {raw(s): i for s, i in spec["model"]["vocab"].items()}, {t["content"]: t["id"] for t in spec["added_tokens"]}, [(raw(a), raw(b)) for a, b in pairs]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        alphabet = byte_alphabet()
-        raw = lambda s: bytes(alphabet[ch] for ch in s)
-        vocab = {raw(s): i for s, i in spec["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab, self.special, merges = load(path)
         size = max([*vocab.values(), *self.special.values()]) + 1
         token = [b""] * size
         for s, i in vocab.items():
@@ -63,10 +68,8 @@ class Codec:
         self.token, self.vocab = token, vocab
         self.made: dict[tuple[int, int], int] = {}  # pair -> merged token
         self.parts: dict[int, tuple[int, int]] = {}  # token -> the pair it was merged from
-        for m in spec["model"]["merges"]:
-            left, right = m.split(" ") if isinstance(m, str) else m
-            pair = vocab[raw(left)], vocab[raw(right)]
-            whole = vocab[raw(left) + raw(right)]
+        for left, right in merges:
+            pair, whole = (vocab[left], vocab[right]), vocab[left + right]
             if whole not in self.parts:
                 self.made[pair] = whole
                 self.parts[whole] = pair
@@ -109,7 +112,7 @@ class Codec:
                 bound, x = x, left[1]  # x was made after y: undo x
             else:
                 bound, y = y + 1, right[0]  # ties on the seam go to the left one
-        if len(self.fits) < 2_000_000:
+        if len(self.fits) < 500_000:
             self.fits[a, b] = good
         return good
 
@@ -196,9 +199,8 @@ class Codec:
             return data.decode("utf-8", "replace").encode("utf-8")
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return worker_cache("bpe", path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,7 +74,7 @@ def id_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
     return docs.select(*cols, *[docs[c].alias(c) for c in more])
 
 
-def rows_in(batches: Iterator[pa.RecordBatch], chars: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def rows_in(batches: Iterator[pa.RecordBatch], chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that none holds much more than ``chars`` text bytes."""
     for batch in batches:
         n = batch.num_rows
@@ -88,6 +88,27 @@ def rows_in(batches: Iterator[pa.RecordBatch], chars: int = 1 << 24) -> Iterator
             yield batch.slice(at, step)
 
 
+_held: dict = {}
+
+
+def worker_cache(owner: str, key, make: Callable):
+    """What a worker keeps between tasks: one object of one operator at a time."""
+    if (owner, key) not in _held:
+        _held.clear()
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_docs(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` over bounded batches; ``fn(batch)`` yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -100,6 +121,7 @@ def map_docs(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
         for batch in rows_in(batches):
             for cols in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, out)
 

@@ -18,6 +18,7 @@ learned from.  Repeated rows repeat results; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm import ranking
 from chronoweave.llm import vector_text as vt
-from chronoweave.llm.common import crc_mod, ddl, id_text, map_docs, rows_in
+from chronoweave.llm.common import crc_mod, ddl, give_back, id_text, map_docs, rows_in, worker_cache
 
 UNIT = 32
 UNDETERMINED = "und"
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 300, words_per_lang: int = 8_000,
 class Predictor:
     """Keeps the summed position probabilities of units already seen, by hash."""
 
-    def __init__(self, net: Network, most: int = 600_000) -> None:
+    def __init__(self, net: Network, most: int = 400_000) -> None:
         self.net, self.most = net, most
         self.clear()
 
@@ -196,8 +197,8 @@ class Predictor:
             fresh = np.empty((len(new), len(self.net.langs)), np.float32)
             for s in np.unique(size).tolist():
                 here = np.flatnonzero(size == s)
-                for at in range(0, len(here), 4096):
-                    k = here[at : at + 4096]
+                for at in range(0, len(here), 1024):
+                    k = here[at : at + 1024]
                     fresh[k] = self.net.positions(data[start[k][:, None] + np.arange(s)]).sum(axis=1)
             self.sums = np.concatenate([self.sums, fresh])
         return row, back
@@ -214,18 +215,12 @@ class Predictor:
         return total / np.maximum(size, 1)[:, None]
 
 
-_predictors: dict[str, Predictor] = {}
-
-
 def _predictor(key: str, net: Network) -> Predictor:
-    if key not in _predictors:
-        _predictors.clear()
-        _predictors[key] = Predictor(net)
-    return _predictors[key]
+    return worker_cache("langid", key, lambda: Predictor(net))
 
 
 def _key(net: Network | None) -> str:
-    return vt.mix(np.frombuffer(b"".join(v.tobytes()[: v.nbytes // 8 * 8] for v in net.w.values()), np.uint64)).sum().item().__str__() if net else ""
+    return hashlib.sha256(b"".join(v.tobytes() for v in net.w.values())).hexdigest() if net else ""
 
 
 @lru_cache(maxsize=1 << 16)
@@ -243,7 +238,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     key = _key(net)
 
     def run(batch):
-        for part in rows_in([batch], 1_000_000):
+        for part in rows_in([batch], 500_000):
             letters = np.fromiter((has_letter(t) for t in part.column(1).to_pylist()), bool, part.num_rows)
             if net is None:
                 yield {"doc_id": part.column(0), "lang_pred": [UNDETERMINED] * len(letters), "score": [0.0] * len(letters)}
@@ -293,7 +288,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        for part in rows_in(batches, 1_000_000):
+        for part in rows_in(batches, 500_000):
             text = part.column(at)
             keep = np.fromiter((has_letter(t) for t in text.to_pylist()), bool, part.num_rows)
             if net is None:
@@ -302,5 +297,6 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_
                 keep &= _predictor(key, net).documents(vt.Words(text, lower=True)).max(axis=1) >= min_score
             part = part.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow)], schema=arrow)
+        give_back()
 
     return docs.mapInArrow(run, schema)

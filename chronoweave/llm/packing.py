@@ -21,24 +21,26 @@ one by one.  Empty input gives no pieces.  Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, ranking
-from chronoweave.llm.common import Scratch, ddl, id_text, map_docs
+from chronoweave.llm.common import Scratch, ddl, id_text, map_docs, worker_cache
 from chronoweave.llm.pretokens import Pieces, encode_texts
 
 
-@lru_cache(maxsize=2)
 def _tokens(vocabulary: str) -> tuple[Pieces, dict[str, int]]:
-    import tiktoken
+    """Merging by rank, in tiktoken's library, of the vocabulary's tokens."""
+
+    def make():
+        import tiktoken
+
+        ranks, special, _ = bpe.load(vocabulary)
+        merge = tiktoken.Encoding("packing", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+        return Pieces(merge._encode_single_piece), special
 
-    c = bpe.codec(vocabulary)
-    merge = tiktoken.Encoding("packing", pat_str=r".+", mergeable_ranks=c.vocab, special_tokens={})
-    return Pieces(merge._encode_single_piece), c.special
+    return worker_cache("packing", vocabulary, make)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

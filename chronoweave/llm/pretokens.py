@@ -21,7 +21,7 @@ from chronoweave.llm import vector_text as vt
 OTHER, LETTER, NUMBER, BLANK, SPACE = 0, 1, 2, 3, 4  # BLANK is U+0020 alone
 #: Code points of Unicode's White_Space property.
 WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -74,7 +74,7 @@ def starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Pieces:
     """Distinct pretokens of a worker and their ids; bounded in entries."""
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 1_500_000) -> None:
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 800_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 

@@ -44,7 +44,7 @@ def of_words(w: vt.Words, shingle: int = 3, seed: int = 42) -> np.ndarray:
     to = np.minimum(k + shingle - 1, np.repeat(w.first[1:] - 1, count))
     values = xxh64(data, a[k], b[to], seed)
     bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, bounds[:-1][has], axis=0, dtype=np.int64)
+    ones = np.add.reduceat(bits, bounds[:-1][has], axis=0, dtype=np.int32)
     major = ones * 2 > count[has, None]
     out[has] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     df = id_text(docs, id_col, text_col)
 
     def run(batch):
-        for part in rows_in([batch], 2_000_000):
+        for part in rows_in([batch], 400_000):
             yield {"doc_id": part.column(0), "fp": of_words(vt.Words(part.column(1)), shingle, seed).view(np.int64)}
 
     return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, fp long")
