@@ -119,7 +119,8 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42,
     found = cluster(docs, radius, shingle, seed, id_col, text_col)
     keep = Scratch(docs.sparkSession, "kept").table(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__cw_rows")))
     once = keep.select(F.col("doc_id").alias("__cw_id"), "__cw_rows")
-    out = docs.join(once, docs[id_col].eqNullSafe(once["__cw_id"])).drop("__cw_id")
+    # The kept ids grow with the input: never broadcast, so every size has this plan.
+    out = docs.join(once.hint("merge"), docs[id_col].eqNullSafe(once["__cw_id"])).drop("__cw_id")
     if not keep.where("__cw_rows > 1").isEmpty():
         from pyspark.sql import Window
 

@@ -134,7 +134,7 @@ def passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "d
     scratch.drop(kept)
     whole = _places(near.where("not mixed and until - since >= " + str(min_words)), "gram", F.col("until"))
     at = near.where("mixed").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    met = scratch.table(windows(df.join(at, "doc_id").select("doc_id", "text", "at"), min_words, k))
+    met = scratch.table(windows(df.join(at.hint("merge"), "doc_id").select("doc_id", "text", "at"), min_words, k))
     parts = _places(met, "window", F.col("since") + min_words)
     both = whole.unionByName(parts)
     order = Window.partitionBy("doc_id", "removed").orderBy("since", "until")
@@ -155,7 +155,8 @@ def strip(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_
     """
     found = passages(docs, min_words, k, id_col, text_col).where("removed")
     cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cw_cuts")).withColumnRenamed("doc_id", "__cw_id")
-    joined = docs.join(cuts, docs[id_col] == cuts["__cw_id"], "left").drop("__cw_id")
+    # Cuts grow with the input: never broadcast, so every size has this plan.
+    joined = docs.join(cuts.hint("merge"), docs[id_col] == cuts["__cw_id"], "left").drop("__cw_id")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batch):
