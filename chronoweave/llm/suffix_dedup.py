@@ -114,10 +114,14 @@ def windows(df: DataFrame, min_words: int, k: int) -> DataFrame:
     return map_docs(df, run, f"window long, doc_id {ddl(df, 'doc_id')}, since int")
 
 
-def _places(found: DataFrame, key: str, until) -> DataFrame:
-    """doc_id, since, until, first_doc_id, removed for keys that stand in two documents."""
+def _places(found: DataFrame, key: str, until, scratch: Scratch) -> DataFrame:
+    """doc_id, since, until, first_doc_id, removed for keys that stand in two documents.
+
+    What a key needs is aggregated and written first, so that the join has a
+    shuffle of its own and a frequent key's rows can be split over tasks.
+    """
     first = found.groupBy(key).agg(F.min(F.struct("doc_id", "since")).alias("f"), F.max("doc_id").alias("most")).where("f.doc_id <> most")
-    return found.join(first, key).select("doc_id", "since", until.alias("until"), F.col("f.doc_id").alias("first_doc_id"), ((F.col("doc_id") != F.col("f.doc_id")) | (F.col("since") != F.col("f.since"))).alias("removed"))
+    return found.join(scratch.table(first).hint("merge"), key).select("doc_id", "since", until.alias("until"), F.col("f.doc_id").alias("first_doc_id"), ((F.col("doc_id") != F.col("f.doc_id")) | (F.col("since") != F.col("f.since"))).alias("removed"))
 
 
 def passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,12 +134,13 @@ def passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "d
     df = id_text(docs, id_col, text_col).where("doc_id is not null")
     kept = scratch.table(suffixes(df, min_words, k))
     groups = kept.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("context") != F.max("context")).alias("mixed")).where("a <> b")
-    near = scratch.table(kept.join(groups.select("gram", "mixed"), "gram"))
+    repeated = scratch.table(groups.select("gram", "mixed"))  # written first, so that a frequent gram's rows can be split over tasks
+    near = scratch.table(kept.join(repeated.hint("merge"), "gram"))
     scratch.drop(kept)
-    whole = _places(near.where("not mixed and until - since >= " + str(min_words)), "gram", F.col("until"))
+    whole = _places(near.where("not mixed and until - since >= " + str(min_words)), "gram", F.col("until"), scratch)
     at = near.where("mixed").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     met = scratch.table(windows(df.join(at.hint("merge"), "doc_id").select("doc_id", "text", "at"), min_words, k))
-    parts = _places(met, "window", F.col("since") + min_words)
+    parts = _places(met, "window", F.col("since") + min_words, scratch)
     both = whole.unionByName(parts)
     order = Window.partitionBy("doc_id", "removed").orderBy("since", "until")
     seen = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
