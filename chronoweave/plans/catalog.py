@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
+from chronoweave.operators import boundaries as bd
+from chronoweave.operators import learning as ml
 from chronoweave.operators import sequences as sq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,3 +633,42 @@ def AG23_patterns(spark, sf):
     e = read(spark, sf, "events").withColumn("part", F.ntile(4).over(w))
     top = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
     return e.groupBy("user_id").agg(F.when(top(4) > 50, "persistent").when(top(1) > 50, "transient").otherwise("settled").alias("pattern"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, value FROM events),
+ f AS (SELECT user_id, place, row_number() OVER (PARTITION BY user_id ORDER BY place) AS r FROM e WHERE value >= 50 AND place > 0),
+ s AS (SELECT user_id, place, r, CASE WHEN place >= 6 THEN place ELSE 0 END AS last, place >= 6 AS kept FROM f WHERE r = 1
+ UNION ALL SELECT f.user_id, f.place, f.r, CASE WHEN f.place - s.last >= 6 THEN f.place ELSE s.last END, f.place - s.last >= 6 FROM s JOIN f ON f.user_id = s.user_id AND f.r = s.r + 1)
+ SELECT user_id, place::BIGINT AS place FROM s WHERE kept""")
+def W5_minimum_gap(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("place"), (F.col("value") >= 50).alias("flag"))
+    return bd.spaced(e, "user_id", "place", "flag")
+
+
+@query("WITH " + FRAMES + """, n AS (SELECT s, count(*) AS n FROM f GROUP BY s), t AS (SELECT s, tok, count(*) AS df FROM (SELECT s, unnest(list_distinct(toks)) AS tok FROM f) GROUP BY s, tok),
+ b AS (SELECT t.s, count(*) AS k, bool_or(regexp_matches(tok, 'terminal|console|todo|run|pycharm|vscode|main|py')) AS marked FROM t JOIN n ON t.s = n.s WHERE df / n.n::DOUBLE >= 0.7 GROUP BY t.s)
+ SELECT n.s, CASE WHEN k >= 5 AND marked THEN 'ide' WHEN coalesce(k, 0) <= 2 THEN 'blackboard' ELSE 'slides' END AS kind FROM n LEFT JOIN b ON n.s = b.s""")
+def G4_session_class(spark, sf):
+    f = frames(spark, sf)
+    toks = sq.boilerplate(f, "s", "toks").groupBy("s").agg(F.collect_set("tok").alias("bp"))
+    return f.select("s").distinct().join(toks, "s", "left").select("s", bd.session_class(F.coalesce("bp", F.array().cast("array<string>"))).alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - med) / CASE WHEN q75 = q25 THEN 1 ELSE q75 - q25 END, 6) AS scaled FROM lineitem, (SELECT quantile_cont(l_quantity::DOUBLE, 0.25) AS q25, quantile_cont(l_quantity::DOUBLE, 0.5) AS med, quantile_cont(l_quantity::DOUBLE, 0.75) AS q75 FROM lineitem)")
+def M1_robust_scaler(spark, sf):
+    d = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"))
+    return ml.robust_scale(d, ["x"]).select("l_orderkey", "l_linenumber", F.round("x", 6).alias("scaled"))
+
+
+@query("SELECT p_partkey, round((p_size - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 6) AS scaled FROM part, (SELECT avg(p_size) AS m, stddev_pop(p_size) AS d FROM part)")
+def M2_standard_scaler(spark, sf):
+    d = read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"))
+    return ml.standard_scale(d, ["x"]).select("p_partkey", F.round("x", 6).alias("scaled"))
+
+
+@query()
+def M3_logistic_regression(spark, sf):
+    d = read(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    model = ml.fit(d, ["l_quantity", "l_discount", "l_tax"], "y")
+    return model.transform(d).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
