@@ -672,3 +672,19 @@ def M3_logistic_regression(spark, sf):
     d = read(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
     model = ml.fit(d, ["l_quantity", "l_discount", "l_tax"], "y")
     return model.transform(d).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH t AS (SELECT conv_id AS s, count(*) AS n, count(DISTINCT role) AS roles FROM conversations GROUP BY 1) SELECT s, n::BIGINT AS n_frames, round(roles / n::DOUBLE, 6) AS complementarity FROM t")
+def AG28_complementarity(spark, sf):
+    t = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("s")).agg(F.count(F.lit(1)).alias("n_frames"), F.countDistinct("role").alias("roles"))
+    return t.select("s", "n_frames", F.round(F.col("roles") / F.col("n_frames"), 6).alias("complementarity"))
+
+
+@query("WITH " + FRAMES + " SELECT a.s, a.seq AS a, b.seq AS b, CASE WHEN len(a.toks) = 0 AND len(b.toks) = 0 THEN 1.0 WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0 ELSE round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks)))::DOUBLE, 4) END AS sim FROM f a JOIN f b ON a.s = b.s AND a.seq <> b.seq")
+def J8_group_similarities(spark, sf):
+    """All pairs of a conversation's turns: the matrix the operator is asked for."""
+    f = frames(spark, sf).select("s", "seq", F.array_distinct("toks").alias("t"))
+    a, b = f.select("s", F.col("seq").alias("a"), F.col("t").alias("ta")), f.select("s", F.col("seq").alias("b"), F.col("t").alias("tb"))
+    both, either = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
+    sim = F.when(either == 0, 1.0).otherwise(F.round(both / either, 4))
+    return a.join(b, "s").where("a <> b").select("s", "a", "b", sim.alias("sim"))
