@@ -116,7 +116,11 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42,
     Of rows that repeat an id, the one with the smallest text stays; rows
     without an id stay only if nothing links to them.
     """
-    found = cluster(docs, radius, shingle, seed, id_col, text_col)
+    return keep_found(docs, cluster(docs, radius, shingle, seed, id_col, text_col), id_col, text_col)
+
+
+def keep_found(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id that was found for it."""
     keep = Scratch(docs.sparkSession, "kept").table(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__cw_rows")))
     once = keep.select(F.col("doc_id").alias("__cw_id"), "__cw_rows")
     # The kept ids grow with the input: never broadcast, so every size has this plan.

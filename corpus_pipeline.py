@@ -1,7 +1,8 @@
 """A corpus pipeline: every stage applies one operator to what the one before kept.
 
 Stages: language identification (documents without a language go), SimHash
-near-dedup (one document of each group stays), suffix-array dedup (passages
+near-dedup completed by a prefix join (one document of each group that five-word
+shingles link at Jaccard similarity 0.8 stays), suffix-array dedup (passages
 that repeat across documents stay once) and best-fit packing.  All but the
 last return the columns of ``documents``.
 """
@@ -12,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import langid, packing, simhash, suffix_dedup
+from chronoweave.llm import langid, near_copies, packing, suffix_dedup
 from chronoweave.llm.common import Scratch
 from chronoweave.llm.queries import vocabulary
 
@@ -27,7 +28,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

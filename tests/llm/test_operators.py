@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from chronoweave.llm import bpe, class_lm, embed_dedup, langid, license_scan, merkle, packing, queries, sharding, simhash, suffix_dedup
+from chronoweave.llm import bpe, class_lm, embed_dedup, langid, license_scan, merkle, near_copies, packing, queries, sharding, simhash, suffix_dedup
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SCHEMA = T.StructType([
@@ -158,6 +158,45 @@ def test_simhash(docs, empty):
     assert simhash.cluster(empty).count() == 0
 
 
+def brute_near(rows, similarity=0.8, shingle=5):
+    """doc_id -> smallest id that links of Jaccard similarity reach."""
+    held = []
+    for i, t, *_ in rows:
+        w = words_of(t)
+        held.append((i, {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}))
+    label = {i: i for i, _ in held}
+    links = [(i, j) for i, a in held for j, b in held if len(a & b) >= similarity * len(a | b) - 1e-9]
+    for _ in held:
+        before = dict(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    return label
+
+
+def test_near_copies_at_the_similarity(spark, docs, empty):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    line, rows = " ".join(words[:12]), list(corpus())
+    for i in range(40):
+        w = [rng.choice(words) for _ in range(rng.choice([6, 20, 90, 300]))]
+        rows.append((1000 + 10 * i, " ".join(w) + " " + line, *rows[0][2:]))
+        for k in range(1, 6):
+            v = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 30))):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            rows.append((1000 + 10 * i + k, " ".join(v) + " " + line, *rows[0][2:]))
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_near(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in near_copies.components(d).collect()} == set(want.items())
+    kept = near_copies.keep_one(d)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+    # SimHash at 3 bits leaves near copies in.
+    assert len(set(want.values())) < simhash.keep_one(d, shingle=5).count()
+    assert near_copies.components(empty).count() == 0 and near_copies.keep_one(empty).count() == 0
+
+
 def test_simhash_crowded_buckets_lose_nothing(spark):
     from chronoweave.llm.common import Scratch
 
