@@ -277,8 +277,8 @@ def identify(docs: DataFrame, held_out: int = 2, of: int = 4, id_col: str = "doc
 def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
     """The rows of docs whose language can be told, all columns kept.
 
-    Rejected: ``und`` rows and rows that score under ``min_score``.  The verdict
-    falls in the pass that reads the text, so nothing is shuffled.
+    Rejected: texts without a letter and, if there is anything to learn from,
+    rows that score under ``min_score``.  The verdict falls in the pass that reads the text, so nothing is shuffled.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -291,9 +291,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_
         for part in rows_in(batches, 500_000):
             text = part.column(at)
             keep = np.fromiter((has_letter(t) for t in text.to_pylist()), bool, part.num_rows)
-            if net is None:
-                keep[:] = False
-            else:
+            if net is not None:
                 keep &= _predictor(key, net).documents(vt.Words(text, lower=True)).max(axis=1) >= min_score
             part = part.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow)], schema=arrow)

@@ -224,6 +224,11 @@ def test_language_id(spark, empty):
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
 
 
+def test_texts_stay_where_no_language_is_known(spark):
+    d = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in langid.keep_identified(d).collect()] == [1]
+
+
 def test_gradients_agree_with_differences():
     net = langid.Network(["a", "b"], 3, 1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
