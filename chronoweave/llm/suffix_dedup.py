@@ -155,11 +155,12 @@ def passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "d
 def strip(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """docs without the later places of repeated passages, all columns kept.
 
-    A removed stretch goes with the white space after it.  Documents of which
+    Words of a window that its document keeps stay, also where a later place
+    overlaps them.  A removed stretch goes with the white space after it.  Documents of which
     no word is left go; a column of character counts follows the text.
     """
-    found = passages(docs, min_words, k, id_col, text_col).where("removed")
-    cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cw_cuts")).withColumnRenamed("doc_id", "__cw_id")
+    found = passages(docs, min_words, k, id_col, text_col)
+    cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words", "removed")).alias("__cw_cuts")).where("exists(__cw_cuts, c -> c.removed)").withColumnRenamed("doc_id", "__cw_id")
     # Cuts grow with the input: never broadcast, so every size has this plan.
     joined = docs.join(cuts.hint("merge"), docs[id_col] == cuts["__cw_id"], "left").drop("__cw_id")
     names, at = docs.columns, docs.columns.index(text_col)
@@ -177,7 +178,10 @@ def strip(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_
                 lo, n = int(w.first[row]), int(w.counts[row])
                 base = int(w.offsets[row])
                 raw = w.raw[base : int(w.offsets[row + 1])].tobytes()
-                gone, here, out = sorted((c["start_word"], c["start_word"] + c["n_words"]) for c in cut), 0, []
+                go = np.zeros(n + 2, bool)
+                for c in sorted(cut, key=lambda c: not c["removed"]):  # what is kept comes last
+                    go[c["start_word"] + 1 : c["start_word"] + c["n_words"] + 1] = c["removed"]
+                gone, here, out = np.flatnonzero(go[1:] != go[:-1]).reshape(-1, 2).tolist(), 0, []
                 left = n
                 for a, b in gone:
                     out.append(raw[here : int(w.start[lo + a]) - base])

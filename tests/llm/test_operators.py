@@ -268,6 +268,15 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.passages(empty).count() == 0 and suffix_dedup.strip(empty).count() == 0
 
 
+def test_first_copy_of_a_periodic_passage_stays_whole(spark):
+    period = " ".join(f"w{i}" for i in range(31))
+    d = spark.createDataFrame([(1, " ".join([period] * 5)), (2, " ".join([period] * 3))], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"].split() for r in suffix_dedup.strip(d).collect()}
+    w = " ".join([period] * 5).split()
+    # Windows begin at the 31 places of the first period; 31 + 49 words hold them all.
+    assert left == {1: w[:80]}
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(30, 16))
