@@ -134,7 +134,10 @@ def _verified(pairs: DataFrame, signed: DataFrame, df: DataFrame, shingle: int,
         kept = batch.filter(pa.array(ok, pa.bool_()))
         yield {"a": kept.column(0), "b": kept.column(1)}
 
-    return scratch.table(map_docs(both, compare, "a long, b long"))
+    out = scratch.table(map_docs(both, compare, "a long, b long"))
+    scratch.drop(held)
+    scratch.drop(need)
+    return out
 
 
 def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,9 +146,11 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     df = id_text(docs, id_col, text_col)
     signed = scratch.table(_signed(df, shingle, seed))
     prefixes = scratch.table(_prefixes(df, shingle, similarity, _frequent(df, shingle)))
-    shared = scratch.table(prefixes.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("key"))
+    # Keys alone are shuffled here; keys that only equal sets share are dropped by later steps.
+    shared = scratch.table(prefixes.groupBy("key").count().where("count > 1").select("key"))
     near = scratch.table(prefixes.join(shared.hint("merge"), "key").dropDuplicates(["key", "sig"]))
     scratch.drop(prefixes)
+    scratch.drop(shared)
 
     fps = scratch.table(signed.groupBy("fp").agg(F.min("sig").alias("rep")))
     bits = simhash.class_links(fps, scratch).select("a", "b")
