@@ -17,7 +17,8 @@ from chronoweave.llm import langid, near_copies, packing, suffix_dedup
 from chronoweave.llm.common import Scratch
 from chronoweave.llm.queries import vocabulary
 
-#: SQL cannot express a network, XXH64 or BPE; tests hold the pipeline against brute force.
+#: SQL cannot express a network, XXH64 or BPE.  Tests hold the operators of the stages after the first against
+#: brute force; of the whole run they check only columns, ids and that there are rows.
 ORACLE_SQL = None
 
 
