@@ -1,41 +1,46 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a unit byte by byte in both directions and gives every
+The network reads text byte by byte in both directions and gives every
 position a distribution over the learned languages; a document's distribution
-is the mean over all its positions.  Units are white-space delimited words,
-longer ones cut every ``UNIT`` bytes, and state starts anew at each unit: so a
-unit's result depends on its bytes alone, is computed once per worker and
-found again by hash, and no text, however long, needs more memory than a unit.
+is the mean over all its positions.  A text is read in windows of ``WINDOW``
+bytes that overlap: state is carried across words for ``AROUND`` bytes before a
+position counts and after, in both directions, and every position counts once.
+So windows of many texts are run together, and no text, however long, needs
+more memory than its bytes and some windows.  Short texts are padded with
+blanks, which do not count.
 
 Training is in numpy, by backpropagation through time with Adam, on a sample
-of labelled rows bounded by ``docs_per_lang`` rows and ``words_per_lang`` words
-a language (documented limits of the fit; prediction covers whole texts).
+of at most ``docs_per_lang`` labelled rows a language, whole texts (a
+documented limit of the fit; prediction covers all texts).
 
 Null texts and texts without a letter are ``und`` with score 0.  With nothing
 to learn from, every text is ``und``.  Rows with a null language are not
-learned from.  Repeated rows repeat results; extra columns are ignored.
+learned from.  Of equally likely languages the first in order of names is
+taken.  Repeated rows repeat results; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm import ranking
 from chronoweave.llm import vector_text as vt
-from chronoweave.llm.common import crc_mod, ddl, give_back, id_text, map_docs, rows_in, worker_cache
+from chronoweave.llm.common import crc_mod, ddl, give_back, id_text, map_docs, rows_in
 
-UNIT = 32
+WINDOW, AROUND = 192, 32
+CORE = WINDOW - 2 * AROUND
+PAD = 32  # short texts are padded to a multiple of it
 UNDETERMINED = "und"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Network:
@@ -70,12 +75,47 @@ class Network:
             out[t] = h
         return out
 
+    def _states(self, units: np.ndarray, d: str) -> np.ndarray:
+        """What :meth:`_run` gives, as (length, hidden, n): gates lie in rows, so that each step works on few large blocks."""
+        n, length = units.shape
+        H = self.hidden
+        half = np.repeat(np.asarray([0.5, 1], np.float32), (2 * H, H))  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        X = np.ascontiguousarray(((self.w["X" + d] + self.w["b" + d]) * half).T)
+        U = np.ascontiguousarray((self.w["U" + d] * half).T)
+        by_step = np.ascontiguousarray(units.T)
+        h, out = np.zeros((H, n), X.dtype), np.empty((length, H, n), X.dtype)
+        x, u = np.empty((3 * H, n), X.dtype), np.empty((3 * H, n), X.dtype)
+        for t in range(length) if d == "f" else range(length - 1, -1, -1):
+            np.take(X, by_step[t], axis=1, out=x, mode="clip")
+            np.matmul(U, h, out=u)
+            gates, cand = x[: 2 * H], x[2 * H :]
+            gates += u[: 2 * H]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            u[2 * H :] *= gates[H:]
+            cand += u[2 * H :]
+            np.tanh(cand, out=cand)
+            h = h - cand
+            h *= gates[:H]
+            h += cand
+            out[t] = h
+        return out
+
+    def by_language(self, units: np.ndarray) -> np.ndarray:
+        """Language probabilities at each byte, (length, languages, n)."""
+        H, O = self.hidden, self.w["O"].T
+        p = np.matmul(O[:, :H], self._states(units, "f"))
+        p += np.matmul(O[:, H:], self._states(units, "b"))
+        p += self.w["c"][:, None]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        return p
+
     def positions(self, units: np.ndarray) -> np.ndarray:
         """Language probabilities at each byte, (n, length, languages)."""
-        both = np.concatenate([self._run(units, "f"), self._run(units, "b")], axis=2)
-        logits = both @ self.w["O"] + self.w["c"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return (e / e.sum(axis=2, keepdims=True)).transpose(1, 0, 2)
+        return self.by_language(units).transpose(2, 0, 1)
 
     def gradients(self, units: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over positions, by backpropagation through time."""
@@ -107,25 +147,20 @@ class Network:
         return g
 
 
-def train(units: list[bytes], labels: list[int], langs: list[str], hidden: int = 24, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 42) -> Network:
+def train(units: list[np.ndarray], labels: list[np.ndarray], langs: list[str], hidden: int = 12, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 42) -> Network:
+    """``units``: arrays of equally long windows, with the language of each window in ``labels``."""
     net = Network(langs, hidden, seed)
     rng = np.random.default_rng(seed)
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    labels = np.asarray(labels)
-    sets = []
-    for size in np.unique(sizes):
-        here = np.flatnonzero(sizes == size)
-        sets.append((np.frombuffer(b"".join(units[i] for i in here), np.uint8).reshape(-1, size), labels[here]))
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    steps = [(s, at) for s, (x, _) in enumerate(sets) for at in range(0, len(x), batch)]
+    steps = [(s, at) for s, x in enumerate(units) for at in range(0, len(x), batch)]
     step, total = 0, epochs * len(steps)
     for _ in range(epochs):
-        orders = [rng.permutation(len(x)) for x, _ in sets]
+        orders = [rng.permutation(len(x)) for x in units]
         for k in rng.permutation(len(steps)):
             s, at = steps[k]
             pick = orders[s][at : at + batch]
-            g = net.gradients(sets[s][0][pick], sets[s][1][pick])
+            g = net.gradients(units[s][pick], labels[s][pick])
             step += 1
             lr = rate * (1 - 0.9 * step / total) * min(1.0, len(pick) / 64)
             for key, grad in g.items():
@@ -135,92 +170,79 @@ def train(units: list[bytes], labels: list[int], langs: list[str], hidden: int =
     return net
 
 
-def units_of(w: vt.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and texts of the units of the words."""
-    pieces = -(-(w.end - w.start) // UNIT)
-    owner = np.repeat(np.arange(len(pieces)), pieces)
-    k = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = w.start[owner] + k * UNIT
-    return start, np.minimum(start + UNIT, w.end[owner]), w.text_of()[owner]
+def windows(data: np.ndarray, offsets: np.ndarray):
+    """Windows over texts that lie behind one another, in sets of one length.
 
-
-def fit(docs: DataFrame, docs_per_lang: int = 300, words_per_lang: int = 8_000, hidden: int = 24, epochs: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network fitted on a bounded sample of rows with text and language.
+    Yields the bytes (n, length), and of each window its text and the first
+    and the end of the places that count in it.
+    """
+    size = np.diff(offsets)
+    long = np.flatnonzero(size > WINDOW)
+    count = -(-size[long] // CORE)
+    owner = np.repeat(long, count)
+    core = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * CORE
+    n = size[owner]
+    start = np.clip(core - AROUND, 0, n - WINDOW)
+    for at in range(0, len(owner), 512):
+        s = slice(at, at + 512)
+        yield data[(offsets[owner[s]] + start[s])[:, None] + np.arange(WINDOW)], owner[s], core[s] - start[s], np.minimum(core[s] + CORE, n[s]) - start[s]
+    padded = -(-size // PAD) * PAD
+    for length in range(PAD, WINDOW + 1, PAD):
+        of = np.flatnonzero((padded == length) & (size > 0))
+        for at in range(0, len(of), 512):
+            own = of[at : at + 512]
+            place = np.arange(length)[None]
+            inside = place < size[own, None]
+            where = np.minimum(offsets[own, None] + place, len(data) - 1)
+            yield np.where(inside, data[where], np.uint8(32)), own, np.zeros(len(own), np.int64), size[own]
+
+
+def _folded(col) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column, lower-cased in A-Z, and their offsets."""
+    data, offsets = vt.column_bytes(col)
+    return vt.byte_table(b"", True)[1][data], offsets
+
+
+def documents(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean position probabilities of each text; zeros for empty texts."""
+    total = np.zeros((len(offsets) - 1, len(net.langs)))
+    for units, owner, a, b in windows(data, offsets):
+        p = net.by_language(units)
+        place = np.arange(units.shape[1])[:, None]
+        p *= ((place >= a) & (place < b))[:, None]
+        np.add.at(total, owner, p.sum(axis=0, dtype=np.float64).T)
+    return total / np.maximum(np.diff(offsets), 1)[:, None]
+
+
+def fit(docs: DataFrame, docs_per_lang: int = 100, hidden: int = 12, epochs: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+    """A network fitted on at most ``docs_per_lang`` rows a language with text and language.
 
     Rows are taken by a seeded hash of their id, so the sample does not depend
-    on partitions; of each text at most 8 KB are learned from.
+    on partitions; whole texts are learned from.
     """
+    import pyarrow as pa
+
     known = docs.where(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
         return None
     at = ranking.spread(F.col(id_col), seed=seed)
     limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col(lang_col) == lang, int((1 << ranking.SPREAD_BITS) * min(1.0, 2 * docs_per_lang / n))).otherwise(limit)
-    rows = known.where(at < limit).select(F.col(lang_col).alias("l"), F.substring(text_col, 1, 8192).alias("t"), at.alias("at"), F.col(id_col).cast("string").alias("i")).limit(4 * docs_per_lang * len(counts)).collect()
-    langs, units, labels = sorted(counts), [], []
-    rng = np.random.default_rng(seed)
-    fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    for k, lang in enumerate(langs):
-        mine = sorted((r for r in rows if r["l"] == lang), key=lambda r: (r["at"], r["i"] or ""))[:docs_per_lang]
-        words = [u[i : i + UNIT] for r in mine for u in r["t"].encode().translate(fold).split() for i in range(0, len(u), UNIT)]
-        pick = rng.permutation(len(words))[:words_per_lang]
-        units += [words[i] for i in pick]
-        labels += [k] * len(pick)
-    return train(units, labels, langs, hidden, epochs, seed=seed) if units else None
-
-
-class Predictor:
-    """Keeps the summed position probabilities of units already seen, by hash."""
-
-    def __init__(self, net: Network, most: int = 400_000) -> None:
-        self.net, self.most = net, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.table = vt.HashTable()
-        self.sums = np.empty((0, len(self.net.langs)), np.float32)
-
-    def unit_sums(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of distinct units, and the place among them of each unit."""
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        row = self.table.find(distinct)
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            if self.table.size and self.table.size + len(new) > self.most:
-                self.clear()
-                return self.unit_sums(data, a, b, hashes)
-            row[new] = np.arange(self.table.size, self.table.size + len(new))
-            self.table.add(distinct[new])
-            start, size = a[where[new]], (b - a)[where[new]]
-            fresh = np.empty((len(new), len(self.net.langs)), np.float32)
-            for s in np.unique(size).tolist():
-                here = np.flatnonzero(size == s)
-                for at in range(0, len(here), 1024):
-                    k = here[at : at + 1024]
-                    fresh[k] = self.net.positions(data[start[k][:, None] + np.arange(s)]).sum(axis=1)
-            self.sums = np.concatenate([self.sums, fresh])
-        return row, back
-
-    def documents(self, w: vt.Words) -> np.ndarray:
-        """Mean position probabilities of each text; zeros for texts without a word."""
-        a, b, owner = units_of(w)
-        if not len(a):
-            return np.zeros((len(w.counts), len(self.net.langs)))
-        row, back = self.unit_sums(w.data, a, b, vt.of_symbols(w.data).hash(a, b))
-        bounds = np.searchsorted(owner, np.arange(len(w.counts) + 1))
-        total = vt.segment_sums(self.sums[row[back]].astype(np.float64), bounds)
-        size = vt.segment_sums((b - a).astype(np.float64), bounds)
-        return total / np.maximum(size, 1)[:, None]
-
-
-def _predictor(key: str, net: Network) -> Predictor:
-    return worker_cache("langid", key, lambda: Predictor(net))
-
-
-def _key(net: Network | None) -> str:
-    return hashlib.sha256(b"".join(v.tobytes() for v in net.w.values())).hexdigest() if net else ""
+    for lang, n in counts.items():  # some more than needed, which the window below cuts by rank
+        limit = F.when(F.col(lang_col) == lang, int((1 << ranking.SPREAD_BITS) * min(1.0, (2 * docs_per_lang + 20) / n))).otherwise(limit)
+    some = known.where(at < limit).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), at.alias("at"), F.col(id_col).cast("string").alias("i"))
+    order = Window.partitionBy("l").orderBy("at", "i", "t")
+    rows = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).orderBy("l", "k").collect()
+    langs = sorted(counts)
+    data, offsets = _folded(pa.array([r["t"] for r in rows], pa.string()))
+    label = np.asarray([langs.index(r["l"]) for r in rows], np.int64)
+    sets: dict[int, list] = {}
+    for units, owner, _, _ in windows(data, offsets):
+        sets.setdefault(units.shape[1], []).append((units, label[owner]))
+    if not sets:
+        return None
+    units, labels = zip(*[[np.concatenate(x) for x in zip(*s)] for s in sets.values()])
+    return train(list(units), list(labels), langs, hidden, epochs, seed=seed)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -235,7 +257,6 @@ def has_letter(text: str | None) -> bool:
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     df = id_text(docs, id_col, text_col)
-    key = _key(net)
 
     def run(batch):
         for part in rows_in([batch], 500_000):
@@ -243,7 +264,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             if net is None:
                 yield {"doc_id": part.column(0), "lang_pred": [UNDETERMINED] * len(letters), "score": [0.0] * len(letters)}
                 continue
-            p = _predictor(key, net).documents(vt.Words(part.column(1), lower=True))
+            p = documents(net, *_folded(part.column(1)))
             best = p.argmax(axis=1)
             score = np.minimum(1.0, p[np.arange(len(p)), best])
             yield {"doc_id": part.column(0), "lang_pred": [net.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letters)], "score": np.where(letters, score, 0.0)}
@@ -251,16 +272,16 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, lang_pred string, score double")
 
 
-def label_positions(net: Network, text: str) -> list[tuple[int, str]]:
-    """(byte offset, language) of every non-white byte of a text."""
+def label_positions(net: Network, text: str) -> list[str]:
+    """The language of every byte of a text."""
     import pyarrow as pa
 
-    w = vt.Words(pa.array([text]), lower=True)
-    a, b, _ = units_of(w)
+    data, offsets = _folded(pa.array([text], pa.string()))
     out = []
-    for s, e in zip(a.tolist(), b.tolist()):
-        best = net.positions(w.data[None, s:e])[0].argmax(axis=1)
-        out += [(s + i, net.langs[k]) for i, k in enumerate(best.tolist())]
+    for units, _, a, b in windows(data, offsets):
+        best = net.by_language(units).argmax(axis=1)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+            out += [net.langs[x] for x in best[i:j, k].tolist()]
     return out
 
 
@@ -274,27 +295,31 @@ def identify(docs: DataFrame, held_out: int = 2, of: int = 4, id_col: str = "doc
     return out.select("doc_id", (crc_mod(F.col("doc_id"), of) == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
-    """The rows of docs whose language can be told, all columns kept.
+def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:
+    """The rows of docs whose language can be told, all columns kept; null languages are filled in.
 
     Rejected: texts without a letter and, if there is anything to learn from,
     rows that score under ``min_score``.  The verdict falls in the pass that reads the text, so nothing is shuffled.
     """
     import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    net = fit(docs, id_col=id_col, text_col=text_col, **fitting)
-    schema, at, key = docs.schema, docs.columns.index(text_col), _key(net)
+    net = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **fitting)
+    schema, at, named = docs.schema, docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
         arrow = to_arrow_schema(schema)
         for part in rows_in(batches, 500_000):
-            text = part.column(at)
+            text, cols = part.column(at), list(part.columns)
             keep = np.fromiter((has_letter(t) for t in text.to_pylist()), bool, part.num_rows)
             if net is not None:
-                keep &= _predictor(key, net).documents(vt.Words(text, lower=True)).max(axis=1) >= min_score
-            part = part.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow)], schema=arrow)
+                p = documents(net, *_folded(text))
+                keep &= p.max(axis=1) >= min_score
+                told = pa.array([net.langs[k] for k in p.argmax(axis=1).tolist()], pa.string()).cast(cols[named].type)
+                cols[named] = pa.compute.coalesce(cols[named], told)
+            part = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            yield part.filter(pa.array(keep))
         give_back()
 
     return docs.mapInArrow(run, schema)
