@@ -20,8 +20,12 @@ window of ``min_words`` words that stands in two documents.
 
 The first place (smallest doc_id, then position) of a window keeps it; later
 places are removed.  Words are white-space delimited and compared exactly.
-Null or short texts have no passages; rows without an id are left alone; rows
-that repeat an id count as one document.  Extra columns are ignored.
+Null or short texts have no passages; rows without an id are left alone; equal
+rows count as one document, and rows that repeat an id with other texts are
+documents of their own, in the order of a hash of their texts.  Of equally
+small hashes all are minimisers.  An empty table gives no rows.  A very long
+text is read whole by one task, whose memory follows its length.  Extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -130,8 +134,25 @@ def passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "d
     Stretches of kept and of removed words are joined separately; first_doc_id
     is the smallest id among the first places of their windows.
     """
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    df = id_text(docs, id_col, text_col).where("doc_id is not null")
+    out = _passages(id_text(docs, id_col, text_col).where("doc_id is not null"), min_words, k)
+    return out.select(*[F.col(f"{c}.doc_id").alias(c) if ddl(out, c).startswith("struct") else c for c in out.columns])
+
+
+def _repeats(df: DataFrame) -> bool:
+    """Whether rows repeat an id."""
+    return not df.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _key(text: str = "text"):
+    """Names a document where ids repeat."""
+    return F.struct("doc_id", F.xxhash64(text).alias("of"))
+
+
+def _passages(df: DataFrame, min_words: int, k: int) -> DataFrame:
+    """What :func:`passages` gives; where ids repeat, doc_id and first_doc_id are structs with a hash of the text."""
+    scratch = Scratch(df.sparkSession, "suffixes")
+    if _repeats(df):
+        df = df.select(_key().alias("doc_id"), "text")
     kept = scratch.table(suffixes(df, min_words, k))
     groups = kept.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("context") != F.max("context")).alias("mixed")).where("a <> b")
     repeated = scratch.table(groups.select("gram", "mixed"))  # written first, so that a frequent gram's rows can be split over tasks
@@ -159,10 +180,13 @@ def strip(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_
     overlaps them.  A removed stretch goes with the white space after it.  Documents of which
     no word is left go; a column of character counts follows the text.
     """
-    found = passages(docs, min_words, k, id_col, text_col)
+    known = id_text(docs, id_col, text_col).where("doc_id is not null")
+    found = _passages(known, min_words, k)
+    apart = ddl(found, "doc_id").startswith("struct")
     cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words", "removed")).alias("__cw_cuts")).where("exists(__cw_cuts, c -> c.removed)").withColumnRenamed("doc_id", "__cw_id")
     # Cuts grow with the input: never broadcast, so every size has this plan.
-    joined = docs.join(cuts.hint("merge"), docs[id_col] == cuts["__cw_id"], "left").drop("__cw_id")
+    own = F.struct(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("of")) if apart else docs[id_col]
+    joined = docs.withColumn("__cw_own", own).join(cuts.hint("merge"), F.col("__cw_own") == cuts["__cw_id"], "left").drop("__cw_id", "__cw_own")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batch):
