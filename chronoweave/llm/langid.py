@@ -33,14 +33,27 @@ from chronoweave.llm import ranking
 from chronoweave.llm import vector_text as vt
 from chronoweave.llm.common import crc_mod, ddl, give_back, id_text, map_docs, rows_in
 
-WINDOW, AROUND = 192, 32
+WINDOW, AROUND = 320, 32
 CORE = WINDOW - 2 * AROUND
 PAD = 32  # short texts are padded to a multiple of it
 UNDETERMINED = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: the squashing function of states, a quarter of the cost of ``np.tanh``."""
+    y = np.abs(x)
+    y += 1
+    x /= y
+    return x
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * squash(x)
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    """Of :func:`squash` where its value is y."""
+    return (1 - np.abs(y)) ** 2
 
 
 class Network:
@@ -66,9 +79,9 @@ class Network:
         out = np.empty((length, n, H), np.float32)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
             x, u = X[units[:, t]] + b, h @ U
-            gates = _sigmoid(x[:, : 2 * H] + u[:, : 2 * H])
+            gates = _gate(x[:, : 2 * H] + u[:, : 2 * H])
             z, r = gates[:, :H], gates[:, H:]
-            cand = np.tanh(x[:, 2 * H :] + r * u[:, 2 * H :])
+            cand = squash(x[:, 2 * H :] + r * u[:, 2 * H :])
             if keep is not None:
                 keep.append((t, h, z, r, cand, u[:, 2 * H :]))
             h = cand + z * (h - cand)
@@ -79,9 +92,8 @@ class Network:
         """What :meth:`_run` gives, as (length, hidden, n): gates lie in rows, so that each step works on few large blocks."""
         n, length = units.shape
         H = self.hidden
-        half = np.repeat(np.asarray([0.5, 1], np.float32), (2 * H, H))  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        X = np.ascontiguousarray(((self.w["X" + d] + self.w["b" + d]) * half).T)
-        U = np.ascontiguousarray((self.w["U" + d] * half).T)
+        X = np.ascontiguousarray((self.w["X" + d] + self.w["b" + d]).T)
+        U = np.ascontiguousarray(self.w["U" + d].T)
         by_step = np.ascontiguousarray(units.T)
         h, out = np.zeros((H, n), X.dtype), np.empty((length, H, n), X.dtype)
         x, u = np.empty((3 * H, n), X.dtype), np.empty((3 * H, n), X.dtype)
@@ -90,12 +102,12 @@ class Network:
             np.matmul(U, h, out=u)
             gates, cand = x[: 2 * H], x[2 * H :]
             gates += u[: 2 * H]
-            np.tanh(gates, out=gates)
+            squash(gates)
             gates *= 0.5
             gates += 0.5
             u[2 * H :] *= gates[H:]
             cand += u[2 * H :]
-            np.tanh(cand, out=cand)
+            squash(cand)
             h = h - cand
             h *= gates[:H]
             h += cand
@@ -134,9 +146,9 @@ class Network:
             dh = np.zeros((n, H), np.float32)
             for t, h, z, r, cand, un in reversed(tapes[d]):
                 dh = dh + part[t]
-                dz = dh * (h - cand) * z * (1 - z)
-                dc = dh * (1 - z) * (1 - cand * cand)
-                dr = dc * un * r * (1 - r)
+                dz = dh * (h - cand) * 0.5 * _slope(2 * z - 1)
+                dc = dh * (1 - z) * _slope(cand)
+                dr = dc * un * 0.5 * _slope(2 * r - 1)
                 dx = np.concatenate([dz, dr, dc], axis=1)
                 du = np.concatenate([dz, dr, dc * r], axis=1)
                 np.add.at(gX, units[:, t], dx)
@@ -147,7 +159,7 @@ class Network:
         return g
 
 
-def train(units: list[np.ndarray], labels: list[np.ndarray], langs: list[str], hidden: int = 12, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 42) -> Network:
+def train(units: list[np.ndarray], labels: list[np.ndarray], langs: list[str], hidden: int = 12, epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 42) -> Network:
     """``units``: arrays of equally long windows, with the language of each window in ``labels``."""
     net = Network(langs, hidden, seed)
     rng = np.random.default_rng(seed)
@@ -162,7 +174,7 @@ def train(units: list[np.ndarray], labels: list[np.ndarray], langs: list[str], h
             pick = orders[s][at : at + batch]
             g = net.gradients(units[s][pick], labels[s][pick])
             step += 1
-            lr = rate * (1 - 0.9 * step / total) * min(1.0, len(pick) / 64)
+            lr = rate * (1 - 0.9 * step / total) * min(1.0, len(pick) / 32)
             for key, grad in g.items():
                 m[key] += 0.1 * (grad - m[key])
                 v[key] += 0.002 * (grad * grad - v[key])
