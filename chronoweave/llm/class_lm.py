@@ -379,7 +379,7 @@ def reassigned(table: DataFrame, words: DataFrame, states, fixed: np.ndarray, fi
     return dealt.mapInArrow(gather, "p int, keys binary, shape binary, c binary, cls binary")
 
 
-def looked_up(table: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+def looked_up(table: DataFrame, words: DataFrame, parts: int, keep_keys: bool) -> DataFrame:
     """The chunks with ``c`` and ``cls`` of each of their keys; cls is 0 for unknown ones, else the class plus 1."""
 
     def ask(batch):
@@ -411,9 +411,9 @@ def looked_up(table: DataFrame, words: DataFrame, parts: int) -> DataFrame:
 
     asked = map_docs(table.select("chunk", "keys"), ask, "p int, chunk long, at binary, keys binary")
     answers = _beside(parts, words.select("p", "keys", "c", "cls"), asked).mapInArrow(answer, "chunk long, at binary, c binary, cls binary")
-    own = table.drop("c", "cls").withColumn("turn", F.lit(0))
+    own = table.drop("c", "cls", *[] if keep_keys else ["keys"]).withColumn("turn", F.lit(0))
     both = own.unionByName(answers.withColumn("turn", F.lit(1)), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "turn")
-    schema = StructType.fromDDL(", ".join(f"{c} {ddl(table, c)}" for c in table.columns if c not in ("c", "cls")) + ", c binary, cls binary")
+    schema = StructType.fromDDL(", ".join(f"{c} {ddl(table, c)}" for c in table.columns if c not in ("c", "cls") and (keep_keys or c != "keys")) + ", c binary, cls binary")
 
     def join(batches):
         import pyarrow as pa
@@ -522,16 +522,14 @@ def trained(tokenised: DataFrame, scratch: Scratch, top: int, classes: int, pass
             N = pair_counts(table.select("held", "sizes", "codes", "shape", "cls"), k, states)
             if turn == passes:
                 break
-        new = scratch.table(reassigned(table, words, states, often, cls[: len(often)], N, parts))
-        scratch.drop(words)
-        words = new
-        new = scratch.table(looked_up(table, words, parts))
-        scratch.drop(table)
-        table = new
+        words, old = scratch.table(reassigned(table, words, states, often, cls[: len(often)], N, parts)), words
+        scratch.drop(old)
+        table, old = scratch.table(looked_up(table, words, parts, keep_keys=turn + 1 < passes)), table
+        scratch.drop(old)
     return table, Model(N, tails(words)), total, types
 
 
-def score(docs: DataFrame, held_out: int = 0, of: int = 10, top: int = 512, classes: int = 48, passes: int = 1, chunk_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: int = 0, of: int = 10, top: int = 512, classes: int = 48, passes: int = 1, chunk_chars: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     base_score: the additively smoothed unigram log10 probability; score: the
@@ -556,4 +554,4 @@ def score(docs: DataFrame, held_out: int = 0, of: int = 10, top: int = 512, clas
                 "train_tokens": np.full(len(k.sizes), total), "base_score": np.add.reduceat(base, first[:-1]), "score": sums, "perplexity": 10 ** np.minimum(300, -sums / k.sizes),
             }
 
-    return map_docs(table.drop("chunk", "keys", "n_keys"), run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return map_docs(table.drop("chunk", "n_keys"), run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

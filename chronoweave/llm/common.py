@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is not None and not isinstance(named, str):  # scala.Option
         named = named.get() if named.isDefined() else None
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="chronoweave-")
         sc.setCheckpointDir(named)
     return named
@@ -55,8 +58,13 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df._cw_path)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(df._cw_path)
+        # Spark's cleaner deletes shuffle files once what refers to them is collected.
+        for _ in range(2):  # Python's hold on the JVM's objects goes first
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def _quiet(self) -> None:
         try:
@@ -135,7 +143,3 @@ def crc_mod(col: Column, n: int) -> Column:
     """``crc32(id as text) mod n``, the split rule of the contracts."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
-
-def sized_parts(spark: SparkSession, total: float, each: float, least: int = 8, most: int = 20000) -> int:
-    """Number of partitions so that each holds about ``each`` units of ``total``."""
-    return int(min(most, max(least, spark.sparkContext.defaultParallelism, -(-total // each))))

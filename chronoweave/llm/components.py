@@ -53,8 +53,7 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
         small = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = scratch.table(small.union(least.select("hi", F.col("m").alias("lo"))).distinct())
         mark = _mark(new)
-        scratch.drop(now)
-        scratch.drop(large)
+        scratch.drop(now, large)
         now = new
         if mark == seen:
             break

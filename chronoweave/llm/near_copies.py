@@ -135,8 +135,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, df: DataFrame, shingle: int,
         yield {"a": kept.column(0), "b": kept.column(1)}
 
     out = scratch.table(map_docs(both, compare, "a long, b long"))
-    scratch.drop(held)
-    scratch.drop(need)
+    scratch.drop(held, need)
     return out
 
 
@@ -149,8 +148,7 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     # Keys alone are shuffled here; keys that only equal sets share are dropped by later steps.
     shared = scratch.table(prefixes.groupBy("key").count().where("count > 1").select("key"))
     near = scratch.table(prefixes.join(shared.hint("merge"), "key").dropDuplicates(["key", "sig"]))
-    scratch.drop(prefixes)
-    scratch.drop(shared)
+    scratch.drop(prefixes, shared)
 
     fps = scratch.table(signed.groupBy("fp").agg(F.min("sig").alias("rep")))
     bits = simhash.class_links(fps, scratch).select("a", "b")

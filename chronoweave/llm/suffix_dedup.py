@@ -168,8 +168,7 @@ def _passages(df: DataFrame, min_words: int, k: int) -> DataFrame:
     out = both.select("*", seen.alias("__cw_seen")).withColumn("island", F.sum((F.coalesce("__cw_seen", F.lit(-1)) < F.col("since")).cast("int")).over(order))
     spans = out.groupBy("doc_id", "removed", "island").agg(F.min("since").alias("start_word"), F.max("until").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
     result = scratch.table(spans.select("doc_id", "start_word", (F.col("end") - F.col("start_word")).alias("n_words"), "first_doc_id", "removed"))
-    scratch.drop(near)
-    scratch.drop(met)
+    scratch.drop(near, met)
     return result
 
 
