@@ -414,10 +414,21 @@ def PF5_threshold(spark, sf):
     return read(spark, sf, "events").select("event_id", F.when(F.row_number().over(w) == 1, 1).otherwise((F.col("value") >= 50).cast("int")).alias("keep"))
 
 
-@query("WITH b AS (SELECT s_suppkey, s_nationkey, round(s_acctbal, 2) AS x FROM supplier) SELECT s_nationkey, min(x) - 10 AS x1, max(x) + 10 AS x2, round(100.0 * (max(x) - min(x)) / 12000, 4) AS retained FROM b GROUP BY 1")
+# A supplier is a kept box in the 11,000 x 720 frame of its nation; the crop is the boxes' hull, padded by 10 and cut to the frame.
+_BOX = "CAST(floor(s_acctbal + 1000) AS BIGINT) AS x, (s_suppkey * 37) % 700 AS y"
+
+
+@query(f"""WITH b AS (SELECT s_nationkey, {_BOX} FROM supplier),
+ c AS (SELECT s_nationkey, greatest(0, min(x) - 10) AS x1, greatest(0, min(y) - 10) AS y1, least(11000, max(x) + 60) AS x2, least(720, max(y) + 30) AS y2 FROM b GROUP BY 1)
+ SELECT n_nationkey, CASE WHEN x1 IS NULL THEN 'NO_TEXT_REGION_DETECTED' ELSE 'CONTENT_DETECTED' END AS status, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1, coalesce(x2, 0) AS x2, coalesce(y2, 0) AS y2,
+ coalesce((2000 * (x2 - x1) * (y2 - y1) + 7920000) // 15840000, 0) AS retained_permille FROM nation LEFT JOIN c ON s_nationkey = n_nationkey""")
 def F29_crop_box(spark, sf):
-    b = read(spark, sf, "supplier").select("s_nationkey", F.round("s_acctbal", 2).alias("x"))
-    return b.groupBy("s_nationkey").agg((F.min("x") - 10).alias("x1"), (F.max("x") + 10).alias("x2"), F.round(100.0 * (F.max("x") - F.min("x")) / 12000, 4).alias("retained"))
+    b = read(spark, sf, "supplier").selectExpr("s_nationkey", *_BOX.split(", (")[:1], "(" + _BOX.split(", (")[1])
+    ends = [F.greatest(F.lit(0), F.min("x") - 10).alias("x1"), F.greatest(F.lit(0), F.min("y") - 10).alias("y1"), F.least(F.lit(11000), F.max("x") + 60).alias("x2"), F.least(F.lit(720), F.max("y") + 30).alias("y2")]
+    c = read(spark, sf, "nation").select("n_nationkey").join(b.groupBy("s_nationkey").agg(*ends), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    status = F.when(F.col("x1").isNull(), "NO_TEXT_REGION_DETECTED").otherwise("CONTENT_DETECTED").alias("status")
+    share = F.expr("coalesce((2000 * (x2 - x1) * (y2 - y1) + 7920000) div 15840000, 0)").alias("retained_permille")
+    return c.select("n_nationkey", status, *[F.coalesce(x, F.lit(0)).alias(x) for x in ("x1", "y1", "x2", "y2")], share)
 
 
 @query("WITH q AS (SELECT quantile_cont(l_tax, 0.5) AS med, quantile_cont(l_tax, 0.99) AS q99 FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN q99 > 0 THEN least(coalesce(nullif(l_tax, 0), med), 10 * q99) ELSE coalesce(nullif(l_tax, 0), med) END AS tax FROM lineitem, q")
