@@ -155,23 +155,28 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     same = signed.select("fp", "sig").distinct().join(fps.hint("merge"), "fp").select(F.greatest("sig", "rep").alias("a"), F.least("sig", "rep").alias("b"))
     by = near.select("key", "sig", "n", F.xxhash64("sig", F.pmod("key", F.lit(2))).alias("h"))
     pivot = by.groupBy("key").agg(F.min(F.struct("h", "sig", "n")).alias("p"))
-    star = by.join(scratch.table(pivot).hint("merge"), "key").where(F.least("n", "p.n") >= similarity * F.greatest("n", "p.n") - 1e-9)
+    pivot = scratch.table(pivot)
+    star = by.join(pivot.hint("merge"), "key").where(F.least("n", "p.n") >= similarity * F.greatest("n", "p.n") - 1e-9)
     star = star.select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b"))
     first = scratch.table(bits.union(same).union(star).where("a <> b").distinct())
+    scratch.drop(fps, pivot)
     links = _verified(first, signed, df, shingle, similarity, scratch)
 
     group = connected_components(links, scratch).select(F.col("node").alias("sig"), "component")
     group = scratch.table(group)
     split = near.join(group.hint("merge"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     split = scratch.table(split)
+    scratch.drop(near, group)
     apart = scratch.table(split.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
     left = scratch.table(split.join(apart.hint("merge"), "key"))
+    scratch.drop(split, apart)
     right = left.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
     # The smaller set (then the lesser signature) is on the left, so each pair is met once a key.
     fits = (F.col("component") != F.col("component2")) & (F.struct("n", "sig") < F.struct(F.col("n2").alias("n"), F.col("sig2").alias("sig"))) & (F.col("n") >= similarity * F.col("n2") - 1e-9)
     reach = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     rest = left.join(right.hint("merge"), "key").where(fits & (reach >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9))
     rest = scratch.table(rest.select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    scratch.drop(left, first)
     links = links.union(_verified(rest, signed, df, shingle, similarity, scratch))
 
     whole = connected_components(links, scratch).select(F.col("node").alias("sig"), "component")
