@@ -61,7 +61,10 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             self._delete(df._cw_path)
-        # Spark's cleaner deletes shuffle files once what refers to them is collected.
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Spark's cleaner deletes shuffle files once what refers to them is collected."""
         for _ in range(2):  # Python's hold on the JVM's objects goes first
             gc.collect()
             self.spark._jvm.System.gc()

@@ -18,6 +18,12 @@ places of the shingle rule out pairs that cannot reach the similarity.  Which
 shingles count as frequent is estimated on a sample of texts: any order gives
 the same links.
 
+*Verification.*  Every set has a sketch: a row of about two to four bits an
+element in which each element flips one.  The bits in which two sketches differ
+never outnumber the elements in which the sets do, so a pair whose sketches are
+too far apart cannot reach the similarity.  Most candidates fall there; only
+what is left has its whole sets fetched and compared.
+
 Words are lower-cased in A-Z.  Texts of fewer words are one shingle; texts
 without a word are equal to one another.
 """
@@ -25,6 +31,7 @@ without a word are equal to one another.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +64,43 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return vt.mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the sketches of all sets, one behind another, and their bounds.
+
+    A set of n elements has the least power of two from 2 n (and 64) as its number of bits.
+    """
+    n = np.diff(bounds)
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    place = base[:-1][owner] + (values & (bits - 1).astype(np.uint64)[owner]).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little"), base // 8
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(s.reshape(-1, size), axis=0) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _signed(df: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id, fp, sig of every text."""
+    """doc_id, fp, sig, n, sketch of every text."""
 
     def run(batch):
         for part in rows_in([batch], 400_000):
             w = vt.Words(part.column(1))
-            yield {"doc_id": part.column(0), "fp": simhash.of_words(w, shingle, seed).view(np.int64), "sig": signatures(*sets(w, shingle))}
+            values, bounds = sets(w, shingle)
+            yield {
+                "doc_id": part.column(0), "fp": simhash.of_words(w, shingle, seed).view(np.int64), "sig": signatures(values, bounds),
+                "n": np.diff(bounds).astype(np.int32), "sketch": _binary(*sketches(values, bounds)),
+            }
 
-    return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, fp long, sig long")
+    return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, fp long, sig long, n int, sketch binary")
 
 
 def _frequent(df: DataFrame, shingle: int, sample: int = 20_000, least: int = 4, most: int = 1 << 17) -> np.ndarray:
@@ -105,23 +140,44 @@ def _prefixes(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarr
     return map_docs(df, run, "key long, sig long, n int, pos int")
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, df: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The rows (a, b) of pairs whose sets reach the similarity."""
+def _ends(pairs: DataFrame, of: DataFrame, *cols: str) -> DataFrame:
+    """pairs (a, b) with the columns of both signatures, those of b with 2 at the end."""
+    a = of.select(F.col("sig").alias("a"), *cols)
+    b = of.select(F.col("sig").alias("b"), *[F.col(c).alias(c + "2") for c in cols])
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", *[c + e for c in cols for e in ("", "2")])
+
+
+def _close(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The rows (a, b) of pairs whose sketches allow the similarity."""
+    part = (1 - similarity) / (1 + similarity)
+
+    def run(batch):
+        both = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+        ok = []
+        for most, x, y in zip((part * both + 1e-6).tolist(), batch.column(4), batch.column(5)):
+            ok.append(apart(*(np.frombuffer(s.as_buffer(), np.uint8) for s in (x, y))) <= most)
+        kept = batch.filter(pa.array(ok, pa.bool_()))
+        yield {"a": kept.column(0), "b": kept.column(1)}
+
+    return map_docs(_ends(pairs, reps, "n", "sketch"), run, "a long, b long")
+
+
+def _verified(candidates: DataFrame, reps: DataFrame, df: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The rows (a, b) of candidates whose sets reach the similarity."""
+    pairs = scratch.table(_close(candidates, reps, similarity))
     need = scratch.table(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
-    ids = signed.join(need.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    scratch.sweep()
+    ids = reps.join(need.hint("merge"), "sig", "left_semi").select("id").distinct()
     texts = df.join(ids.hint("merge"), df["doc_id"].eqNullSafe(ids["id"]), "left_semi")
 
     def run(batch):
-        import pyarrow as pa
-
         for part in rows_in([batch], 400_000):
             values, bounds = sets(vt.Words(part.column(1)), shingle)
-            yield {"sig": signatures(values, bounds), "held": pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(values)])}
+            yield {"sig": signatures(values, bounds), "held": _binary(values, bounds * 8)}
 
     held = map_docs(texts, run, "sig long, held binary").dropDuplicates(["sig"])
     held = scratch.table(held.join(need.hint("merge"), "sig", "left_semi"))
-    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")).hint("merge"), "a")
-    both = both.join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+    scratch.sweep()
 
     def compare(batch):
         ok = []
@@ -129,13 +185,11 @@ def _verified(pairs: DataFrame, signed: DataFrame, df: DataFrame, shingle: int,
             p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
             common = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
-        import pyarrow as pa
-
         kept = batch.filter(pa.array(ok, pa.bool_()))
         yield {"a": kept.column(0), "b": kept.column(1)}
 
-    out = scratch.table(map_docs(both, compare, "a long, b long"))
-    scratch.drop(held, need)
+    out = scratch.table(map_docs(_ends(pairs, held, "held"), compare, "a long, b long"))
+    scratch.drop(pairs, held, need)
     return out
 
 
@@ -144,9 +198,12 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     scratch = Scratch(docs.sparkSession, "near")
     df = id_text(docs, id_col, text_col)
     signed = scratch.table(_signed(df, shingle, seed))
+    reps = scratch.table(signed.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     prefixes = scratch.table(_prefixes(df, shingle, similarity, _frequent(df, shingle)))
+    scratch.sweep()
     # Keys alone are shuffled here; keys that only equal sets share are dropped by later steps.
     shared = scratch.table(prefixes.groupBy("key").count().where("count > 1").select("key"))
+    scratch.sweep()
     near = scratch.table(prefixes.join(shared.hint("merge"), "key").dropDuplicates(["key", "sig"]))
     scratch.drop(prefixes, shared)
 
@@ -160,7 +217,7 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     star = star.select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b"))
     first = scratch.table(bits.union(same).union(star).where("a <> b").distinct())
     scratch.drop(fps, pivot)
-    links = _verified(first, signed, df, shingle, similarity, scratch)
+    links = _verified(first, reps, df, shingle, similarity, scratch)
 
     group = connected_components(links, scratch).select(F.col("node").alias("sig"), "component")
     group = scratch.table(group)
@@ -177,7 +234,7 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     rest = left.join(right.hint("merge"), "key").where(fits & (reach >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9))
     rest = scratch.table(rest.select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     scratch.drop(left, first)
-    links = links.union(_verified(rest, signed, df, shingle, similarity, scratch))
+    links = links.union(_verified(rest, reps, df, shingle, similarity, scratch))
 
     whole = connected_components(links, scratch).select(F.col("node").alias("sig"), "component")
     of = scratch.table(signed.select("doc_id", "sig").join(whole.hint("merge"), "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("component")))

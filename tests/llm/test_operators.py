@@ -198,6 +198,27 @@ def test_near_copies_at_the_similarity(spark, docs, empty):
     assert near_copies.components(empty).count() == 0 and near_copies.keep_one(empty).count() == 0
 
 
+def test_sketches_never_outnumber_the_difference():
+    rng = np.random.default_rng(3)
+    groups = []
+    for n in (0, 1, 2, 31, 32, 33, 700, 5000):
+        base = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+        for change in (0, 1, n // 20, n // 3, n):
+            groups.append(np.unique(np.concatenate([base[change:], rng.integers(1, 1 << 63, change, dtype=np.uint64)])))
+    bounds = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+    data, at = near_copies.sketches(np.concatenate(groups), bounds)
+    assert all(at[i + 1] - at[i] <= max(8, len(g) / 2) for i, g in enumerate(groups))
+    rows = [data[at[i] : at[i + 1]] for i in range(len(groups))]
+    for i, g in enumerate(groups):
+        for j, h in enumerate(groups):
+            assert near_copies.apart(rows[i], rows[j]) <= len(np.setxor1d(g, h))
+            assert near_copies.apart(rows[i], rows[j]) == near_copies.apart(rows[j], rows[i])
+    # Sets without a common element are told apart well beyond what a similarity of 0.8 allows.
+    one, other = (rng.integers(1, 1 << 63, 700, dtype=np.uint64) for _ in range(2))
+    x, where = near_copies.sketches(np.concatenate([one, other]), np.array([0, 700, 1400]))
+    assert near_copies.apart(x[: where[1]], x[where[1] :]) > 1400 / 9
+
+
 def test_simhash_crowded_buckets_lose_nothing(spark):
     from chronoweave.llm.common import Scratch
 
