@@ -10,13 +10,14 @@ bits, and each class with the pivot of a shingle in its prefix, are candidates;
 verified ones join classes, so a large group of near copies needs no pairs of
 its own.
 
-*The rest.*  Sets are ordered by one order of all shingles, frequent ones last.
-Of two sets that reach the similarity, the first ``n - ceil(similarity * n) + 1``
-shingles of each (its prefix) have one in common, so every link is met in some
-shingle.  Only classes that first links have not joined are compared; sizes and
-places of the shingle rule out pairs that cannot reach the similarity.  Which
-shingles count as frequent is estimated on a sample of texts: any order gives
-the same links.
+*The rest.*  Sets are ordered by one order of all shingles, the more frequent
+the later.  Of two sets that reach the similarity, the first
+``n - ceil(similarity * n) + 1`` shingles of each (its prefix) have one in common,
+so every link is met in some shingle.  Only classes that first links have not
+joined are compared, and only at shingles that can be the first they share: what
+they have in common then stands from there on in both, so a pair with too little
+left in either set is no pair of this shingle.  How frequent shingles are is
+estimated on a sample of texts: any order gives the same links.
 
 *Verification.*  Every set has a sketch: a row of about two to four bits an
 element in which each element flips one.  The bits in which two sketches differ
@@ -103,9 +104,11 @@ def _signed(df: DataFrame, shingle: int, seed: int) -> DataFrame:
     return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, fp long, sig long, n int, sketch binary")
 
 
-def _frequent(df: DataFrame, shingle: int, sample: int = 20_000, least: int = 4, most: int = 1 << 17) -> np.ndarray:
-    """Sorted shingles that stand in many texts of a sample; it only orders."""
-    every = max(1, df.count() // sample)
+def _frequent(df: DataFrame, shingle: int, every: int = 8, least: int = 2, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that stand in several texts of each ``every``-th, and their grades; it only orders.
+
+    At most ``most`` shingles, nine bytes each, reach the driver and the tasks.
+    """
 
     def run(batch):
         for part in rows_in([batch], 1_000_000):
@@ -114,11 +117,13 @@ def _frequent(df: DataFrame, shingle: int, sample: int = 20_000, least: int = 4,
 
     some = df.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     often = map_docs(some, run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    found = often.orderBy(F.desc("c"), "key").limit(most).collect()
-    return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
+    found = often.orderBy(F.desc("c"), "key").limit(most).toArrow()
+    key, c = found["key"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(key)
+    return key[order], np.log2(np.maximum(c, 1)).astype(np.int8)[order] + np.int8(1)
 
 
-def _prefixes(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+def _prefixes(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, grades: np.ndarray) -> DataFrame:
     """key, sig, n, pos: the prefix of every set."""
 
     def run(batch):
@@ -126,11 +131,11 @@ def _prefixes(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarr
             values, bounds = sets(vt.Words(part.column(1)), shingle)
             sig, n = signatures(values, bounds), np.diff(bounds)
             owner = np.repeat(np.arange(len(n)), n)
-            late = np.zeros(len(values), bool)
+            late = np.zeros(len(values), np.int8)
             if len(frequent):
                 at = np.searchsorted(frequent, values)
                 at[at == len(frequent)] = 0
-                late = frequent[at] == values
+                late = np.where(frequent[at] == values, grades[at], np.int8(0))
             order = np.lexsort((late, owner))  # stable: sorted by value within
             pos = np.arange(len(values)) - bounds[:-1][owner]
             short = pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[owner]
@@ -199,7 +204,7 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     df = id_text(docs, id_col, text_col)
     signed = scratch.table(_signed(df, shingle, seed))
     reps = scratch.table(signed.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    prefixes = scratch.table(_prefixes(df, shingle, similarity, _frequent(df, shingle)))
+    prefixes = scratch.table(_prefixes(df, shingle, similarity, *_frequent(df, shingle)))
     scratch.sweep()
     # Keys alone are shuffled here; keys that only equal sets share are dropped by later steps.
     shared = scratch.table(prefixes.groupBy("key").count().where("count > 1").select("key"))
@@ -230,8 +235,10 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     right = left.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
     # The smaller set (then the lesser signature) is on the left, so each pair is met once a key.
     fits = (F.col("component") != F.col("component2")) & (F.struct("n", "sig") < F.struct(F.col("n2").alias("n"), F.col("sig2").alias("sig"))) & (F.col("n") >= similarity * F.col("n2") - 1e-9)
-    reach = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    rest = left.join(right.hint("merge"), "key").where(fits & (reach >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9))
+    # At the first key of a pair nothing before it is common, so what is common stands from there on in both.
+    part, ahead = similarity / (1 + similarity), F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    smaller = left.where(F.col("n") - F.col("pos") >= 2 * part * F.col("n") - 1e-9)
+    rest = smaller.join(right.hint("merge"), "key").where(fits & (ahead >= part * (F.col("n") + F.col("n2")) - 1e-9))
     rest = scratch.table(rest.select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     scratch.drop(left, first)
     links = links.union(_verified(rest, reps, df, shingle, similarity, scratch))
