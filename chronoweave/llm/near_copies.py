@@ -23,7 +23,10 @@ estimated on a sample of texts: any order gives the same links.
 element in which each element flips one.  The bits in which two sketches differ
 never outnumber the elements in which the sets do, so a pair whose sketches are
 too far apart cannot reach the similarity.  Most candidates fall there; only
-what is left has its whole sets fetched and compared.
+what is left has its whole sets fetched and compared.  The join of the rest
+tests a sketch of ``64 * PARTS`` bits on the way, which rules out most pairs of
+sets of a few hundred shingles before they become rows; larger sets are left to
+the sketches that grow with them.
 
 Words are lower-cased in A-Z.  Texts of fewer words are one shingle; texts
 without a word are equal to one another.
@@ -31,9 +34,11 @@ without a word are equal to one another.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import simhash
@@ -42,6 +47,10 @@ from chronoweave.llm.common import Scratch, ddl, id_text, map_docs, rows_in
 from chronoweave.llm.components import connected_components
 
 
+PARTS = 8
+SHORT = [f"s{i}" for i in range(PARTS)]
+
+
 def sets(w: vt.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and their bounds."""
     n = len(w.counts)
@@ -78,6 +87,14 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.packbits(np.bincount(place, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little"), base // 8
 
 
+def short_sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A sketch of ``64 * PARTS`` bits of each set, a column for each 64 bits."""
+    n, bits = len(bounds) - 1, np.uint64(64 * PARTS - 1)
+    place = np.repeat(np.arange(n), np.diff(bounds)) * 64 * PARTS + ((values >> np.uint64(20)) & bits).astype(np.int64)
+    odd = np.bincount(place, minlength=n * 64 * PARTS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, PARTS)
+
+
 def apart(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two sketches differ, the longer one folded to the length of the other."""
     size = min(len(x), len(y))
@@ -90,18 +107,19 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _signed(df: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id, fp, sig, n, sketch of every text."""
+    """doc_id, fp, sig, n, sketch and the columns SHORT of every text."""
 
     def run(batch):
         for part in rows_in([batch], 400_000):
             w = vt.Words(part.column(1))
             values, bounds = sets(w, shingle)
+            short = short_sketches(values, bounds)
             yield {
                 "doc_id": part.column(0), "fp": simhash.of_words(w, shingle, seed).view(np.int64), "sig": signatures(values, bounds),
-                "n": np.diff(bounds).astype(np.int32), "sketch": _binary(*sketches(values, bounds)),
+                "n": np.diff(bounds).astype(np.int32), "sketch": _binary(*sketches(values, bounds)), **{c: short[:, i] for i, c in enumerate(SHORT)},
             }
 
-    return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, fp long, sig long, n int, sketch binary")
+    return map_docs(df, run, f"doc_id {ddl(df, 'doc_id')}, fp long, sig long, n int, sketch binary, " + ", ".join(f"{c} long" for c in SHORT))
 
 
 def _frequent(df: DataFrame, shingle: int, every: int = 8, least: int = 2, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +221,7 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     scratch = Scratch(docs.sparkSession, "near")
     df = id_text(docs, id_col, text_col)
     signed = scratch.table(_signed(df, shingle, seed))
-    reps = scratch.table(signed.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps = scratch.table(signed.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *[F.first(c).alias(c) for c in SHORT]))
     prefixes = scratch.table(_prefixes(df, shingle, similarity, *_frequent(df, shingle)))
     scratch.sweep()
     # Keys alone are shuffled here; keys that only equal sets share are dropped by later steps.
@@ -230,13 +248,15 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     split = scratch.table(split)
     scratch.drop(near, group)
     apart = scratch.table(split.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
-    left = scratch.table(split.join(apart.hint("merge"), "key"))
+    left = scratch.table(split.join(apart.hint("merge"), "key").join(reps.select("sig", *SHORT).hint("merge"), "sig"))
     scratch.drop(split, apart)
-    right = left.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+    right = left.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), *[F.col(c).alias(c + "2") for c in SHORT])
     # The smaller set (then the lesser signature) is on the left, so each pair is met once a key.
     fits = (F.col("component") != F.col("component2")) & (F.struct("n", "sig") < F.struct(F.col("n2").alias("n"), F.col("sig2").alias("sig"))) & (F.col("n") >= similarity * F.col("n2") - 1e-9)
     # At the first key of a pair nothing before it is common, so what is common stands from there on in both.
     part, ahead = similarity / (1 + similarity), F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in SHORT])
+    fits = fits & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-6)
     smaller = left.where(F.col("n") - F.col("pos") >= 2 * part * F.col("n") - 1e-9)
     rest = smaller.join(right.hint("merge"), "key").where(fits & (ahead >= part * (F.col("n") + F.col("n2")) - 1e-9))
     rest = scratch.table(rest.select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))

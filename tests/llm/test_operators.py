@@ -569,3 +569,16 @@ def test_pipeline(spark, docs, tmp_path):
         assert out.columns == read.columns, name
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} <= {r[0] for r in corpus()} and rows
+
+
+def test_short_sketches_never_differ_in_more_bits_than_the_sets():
+    rng = np.random.default_rng(5)
+    one = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    groups = [one, np.unique(np.concatenate([one[:250], rng.integers(0, 1 << 63, 40).astype(np.uint64)])), one[:1], one[:0], one]
+    rows = near_copies.short_sketches(np.concatenate(groups), np.cumsum([0] + [len(g) for g in groups])).view(np.uint64)  # numpy counts the bits of a signed number's absolute value, Spark those of the number
+    assert rows.shape == (5, near_copies.PARTS) and (rows[0] == rows[4]).all() and not rows[3].any()
+    for g, x in zip(groups, rows):
+        for h, y in zip(groups, rows):
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(g, h))
+    assert np.bitwise_count(rows[0] ^ rows[1]).sum() > 45  # and seldom in many fewer
+    assert near_copies.short_sketches(np.empty(0, np.uint64), np.array([0])).shape == (0, near_copies.PARTS)
