@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import bpe, class_lm, embed_dedup, langid, license_scan, merkle, packing, sharding, simhash, suffix_dedup
+from chronoweave.llm import bpe, chat, class_lm, embed_dedup, fill_middle, filter_audit, langid, license_scan, merkle, packing, sharding, simhash, suffix_dedup
 
 
 def vocabulary() -> str:
@@ -66,6 +66,49 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edit(_documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_documents(spark, sf_dir))
+
+
+OP11 = r"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+ l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+ f AS (SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (w.doc_id > min(w.doc_id) OVER (PARTITION BY t))::INT AS m
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+ c AS (SELECT part, m, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM f GROUP BY 1, 2),
+ b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(ch, bit)),
+ p AS (SELECT a.ch || b2.ch || c3.ch || d.ch || e.ch AS filter_order FROM b a, b b2, b c3, b d, b e WHERE a.bit | b2.bit | c3.bit | d.bit | e.bit = 31),
+ s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS filter, (SELECT sum(bit) FROM b WHERE contains(filter_order[:step - 1], ch)) AS before, (SELECT bit FROM b WHERE ch = filter_order[step]) AS bit FROM p, range(1, 6) r(step)),
+ r AS (SELECT part, filter_order, step, filter, sum(CASE WHEN m & (coalesce(before, 0)::INT | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN m & coalesce(before, 0)::INT = 0 AND m & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN m & coalesce(before, 0)::INT > 0 AND m & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN m & coalesce(before, 0)::INT = 0 AND m & bit > 0 THEN g ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN m & coalesce(before, 0)::INT = 0 AND m & bit > 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4)
+ SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r"""
+
+_ESCAPED = r"regexp_replace(coalesce(text, ''), '([<\[])(\\*(?:/?s>|\||/?INST\]))', '\1\\\2', 'g')"
+
+OP12 = f"""WITH a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM a),
+ c AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
+  sum(length(url_encode(role)) + length({_ESCAPED}) + 10)::BIGINT AS formatted_chars FROM t GROUP BY 1)
+ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 1::BIGINT AS n_branches FROM c"""
+
+OP13 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents),
+ u AS (SELECT doc_id, text, w, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+ v AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ x AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM v)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -78,8 +121,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_class_lm": op9_class_lm,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_chat_format": op12_chat_format,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": OP11, "op12_chat_format": OP12, "op13_fill_middle": OP13}
