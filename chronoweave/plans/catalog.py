@@ -6,8 +6,6 @@ Sessions are conversations (frames are turns), users of ``events``, sources of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +14,7 @@ from chronoweave.functions import vectors as vec
 from chronoweave.operators import boundaries as bd
 from chronoweave.operators import learning as ml
 from chronoweave.operators import sequences as sq
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        name = fn.__name__
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+from chronoweave.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
