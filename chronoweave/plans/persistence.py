@@ -23,8 +23,8 @@ def _sql(pairs: str) -> str:
     """CTE ``dist`` (s, seq, name, d) for the rows (s, seq, name, a, b) of a query: matching blocks, longest first.
 
     A block starts at a run of equal tokens none of which is popular in b, and
-    is then drawn out over any equal tokens; what is left and right of it is
-    searched in the next round.
+    is then drawn out over any equal tokens (without such a run, the tokens at
+    the very start are); what is left and right of it is searched next.
     """
     return (
         r"""f AS (SELECT conv_id AS s, turn AS seq, CASE quality WHEN 1 THEN 'GT' WHEN 0 THEN 'FP' ELSE 'ORD' END AS kind,
@@ -38,14 +38,14 @@ def _sql(pairs: str) -> str:
  eq AS (SELECT xa.id, i, j, pop.tok IS NOT NULL AS popular FROM xa JOIN xb ON xa.id = xb.id AND xa.tok = xb.tok LEFT JOIN pop ON pop.id = xa.id AND pop.tok = xa.tok),
  run AS (SELECT id, i, j, popular, row_number() OVER (PARTITION BY id, i - j, k ORDER BY i) - 1 AS left_, count(*) OVER (PARTITION BY id, i - j, k) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS k FROM eq)),
  clean AS (SELECT id, i, j, row_number() OVER (PARTITION BY id, i - j, k ORDER BY i DESC) AS plain FROM (SELECT *, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS k FROM eq WHERE NOT popular)),
- m AS (SELECT c.id, c.i, c.j, c.plain, r.left_, r.n - r.left_ AS right_ FROM clean c JOIN run r ON c.id = r.id AND c.i = r.i AND c.j = r.j),
+ m AS (SELECT r.id, r.i, r.j, coalesce(c.plain, 0) AS plain, r.left_, r.n - r.left_ AS right_ FROM run r LEFT JOIN clean c ON c.id = r.id AND c.i = r.i AND c.j = r.j),
  seg AS (SELECT id, 0::BIGINT AS alo, len(a)::BIGINT AS ahi, 0::BIGINT AS blo, len(b)::BIGINT AS bhi, 0::BIGINT AS k FROM ok
   UNION ALL SELECT id, u.alo, u.ahi, u.blo, u.bhi, u.k FROM (
    SELECT id, unnest([{'alo': alo, 'ahi': x, 'blo': blo, 'bhi': y, 'k': 0}, {'alo': x + size, 'ahi': ahi, 'blo': y + size, 'bhi': bhi, 'k': 0}, {'alo': 0, 'ahi': 0, 'blo': 0, 'bhi': 0, 'k': size}]) AS u FROM (
     SELECT id, alo, ahi, blo, bhi, best.i - least(best.left_, best.i - alo, best.j - blo) AS x, best.j - least(best.left_, best.i - alo, best.j - blo) AS y,
      least(best.left_, best.i - alo, best.j - blo) + least(best.right_, ahi - best.i, bhi - best.j) AS size FROM (
      SELECT s.id, alo, ahi, blo, bhi, arg_max({'i': m.i, 'j': m.j, 'left_': left_, 'right_': right_}, least(plain, ahi - m.i, bhi - m.j) * 100000000 - m.i * 10000 - m.j) AS best
-     FROM seg s JOIN m ON m.id = s.id AND m.i >= alo AND m.i < ahi AND m.j >= blo AND m.j < bhi WHERE s.k = 0 GROUP BY ALL))) WHERE u.k > 0 OR (u.alo < u.ahi AND u.blo < u.bhi)),
+     FROM seg s JOIN m ON m.id = s.id AND m.i >= alo AND m.i < ahi AND m.j >= blo AND m.j < bhi AND (plain > 0 OR (m.i = alo AND m.j = blo)) WHERE s.k = 0 GROUP BY ALL))) WHERE u.k > 0 OR (u.alo < u.ahi AND u.blo < u.bhi)),
  dist AS (SELECT ok.s, ok.seq, ok.name, CASE WHEN len(a) + len(b) = 0 THEN 0.0::DOUBLE ELSE 1 - 2 * g.k / (len(a) + len(b))::DOUBLE END AS d FROM ok JOIN (SELECT id, sum(k) AS k FROM seg GROUP BY 1) g USING (id))"""
     )
 

@@ -12,7 +12,7 @@ def blocks(a, b):
     popular = {t for t in b if len(b) >= 200 and b.count(t) > len(b) // 100 + 1}
 
     def search(alo, ahi, blo, bhi):
-        best = (0, 0, 0)
+        best = (0, alo, blo)
         for i in range(alo, ahi):
             for j in range(blo, bhi):
                 n = 0
@@ -21,13 +21,11 @@ def blocks(a, b):
                 if n > best[0]:
                     best = (n, i, j)
         n, i, j = best
-        if not n:
-            return 0
         while i > alo and j > blo and a[i - 1] == b[j - 1]:
             n, i, j = n + 1, i - 1, j - 1
         while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
             n += 1
-        return n + search(alo, i, blo, j) + search(i + n, ahi, j + n, bhi)
+        return n and n + search(alo, i, blo, j) + search(i + n, ahi, j + n, bhi)
 
     return search(0, len(a), 0, len(b))
 
