@@ -1,14 +1,39 @@
-"""Greedy selection of the fewest frames that cover a group's tokens."""
+"""Greedy selection of the fewest frames that cover what a group shows.
+
+All modes of a group share its bit sets: a frame's slots (the k-th occurrence
+of a token is a slot of its own) and its cells are rows of 64-bit words, so a
+gain is a count of bits and each mode only differs in masks and weights.
+Groups are gathered by Spark and worked on in Arrow batches, many groups a
+batch; a group has to fit into one task, since each choice depends on the last.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: The modes in order and what they add.
+MODES = {
+    "A": "A: Unique Lexical Set",
+    "B": "B: Lexical Multiset",
+    "C": "C: Multiset + Spatial (16x16)",
+    "D": "D: Multiset + Spatial + Quality",
+    "E1": "E1: D + Gated ViT Diversity",
+    "E2": "E2: D + Gated ViT + Event Evidence",
+    "F": "F: Set Selection / Facility Location",
+}
+#: Why a search ends, and the note of a fallback.
+REACHED, FLOOR, FALLBACK, EMPTY = "coverage_target_reached", "raw_information_floor", "fallback_max_standalone_info", "empty_group"
+NOTE = "Fallback candidate maximizing standalone pedagogical content"
+SPATIAL, STEERED, DIVERSE = {"C", "D", "E1", "E2"}, {"D", "E1", "E2"}, {"E1", "E2"}
 
 
 @dataclass
@@ -21,6 +46,7 @@ class Frame:
     quality: float = 1.0
     vector: np.ndarray | None = None
     event: float = 0.0
+    blank: bool = False
 
 
 @dataclass
@@ -34,85 +60,143 @@ class Options:
     w_event: float = 0.2
 
 
-def _similarities(frames: list[Frame]) -> np.ndarray:
-    """Cosines between frames; a frame without a vector is like itself alone."""
-    n = len(frames)
-    dim = max((len(f.vector) for f in frames if f.vector is not None), default=1)
-    m = np.zeros((n, dim))
-    for i, f in enumerate(frames):
-        if f.vector is not None and len(f.vector) == dim:
-            m[i] = np.asarray(f.vector, float) / max(float(np.linalg.norm(f.vector)), 1e-12)
-    sim = m @ m.T
-    np.fill_diagonal(sim, 1.0)
-    return sim
+@dataclass
+class Chosen:
+    """The frames chosen in one mode, what they cover, why the search ended, and a row for each choice."""
 
+    seqs: list[int] = field(default_factory=list)
+    coverage: float = 0.0
+    lexical: float = 0.0
+    spatial: float = 0.0
+    reason: str = EMPTY
+    audit: list[dict] = field(default_factory=list)
 
-def choose(frames: list[Frame], mode: str = "B", o: Options | None = None) -> tuple[list[int], float, str]:
-    """(chosen seqs, coverage, stopping reason) of one group.
 
-    A covers distinct tokens, B as many slots of a token as its largest count
-    in a frame; C adds 16 x 16 cells; D weighs gains by quality; E1 by distance
-    to what is chosen, E2 also by change events; F ranks by facility location
-    (eligibility and stopping stay lexical).  Scores, then gains, then quality
-    tie within 1e-7; then the earlier frame wins.
-    """
-    o = o or Options()
-    if not frames:
-        return [], 0.0, "empty_group"
-    frames = sorted(frames, key=lambda f: f.seq)
-    bags = [Counter(dict.fromkeys(f.tokens, 1) if mode == "A" else f.tokens) for f in frames]
-    universe: Counter = Counter()
-    for bag in bags:
-        universe |= bag
-    total = max(universe.total(), 1)
-    everywhere = frozenset().union(*(f.cells for f in frames)) if mode in ("C", "D", "E1", "E2") else frozenset()
-    w = o.w_spatial if everywhere else 0.0
-    sim = _similarities(frames) if mode in ("E1", "E2", "F") else None
-    have, seen, chosen = Counter(), frozenset(), []
-
-    def gain(i: int) -> float:
-        new = (bags[i] - have).total() / total
-        return (1 - w) * new + w * len(frames[i].cells - seen) / max(len(everywhere), 1)
-
-    def score(i: int, g: float) -> float:
-        if mode == "F":
-            best = sim[chosen].max(axis=0) if chosen else np.zeros(len(frames))
-            return float(np.maximum(0.0, sim[i] - best).sum() / len(frames))
-        quality = frames[i].quality if mode in ("D", "E1", "E2") else 1.0
-        far = o.w_vector * float(((1 - sim[i][chosen]) / 2).clip(0, 1).min()) if mode in ("E1", "E2") and chosen else 0.0
-        return g * quality * (1 + far + (o.w_event * frames[i].event if mode == "E2" else 0.0))
-
-    def better(x: tuple, y: tuple) -> bool:
-        for a, b in zip(x, y):
-            if abs(a - b) > 1e-7:
-                return a > b
-        return False
-
-    while True:
-        coverage = (1 - w) * have.total() / total + w * len(seen) / max(len(everywhere), 1)
-        if coverage >= o.tau:
-            reason = "coverage_target_reached"
-            break
-        best, pick = None, -1
-        for i in range(len(frames)):
-            if i in chosen or (g := gain(i)) < o.epsilon:
-                continue
-            rank = (score(i, g), g, frames[i].quality)
-            if best is None or better(rank, best):
-                best, pick = rank, i
-        if best is None:
-            reason = "raw_information_floor"
-            break
-        chosen.append(pick)
-        have |= bags[pick]
-        seen |= frames[pick].cells
-    if not chosen:
-        reason = "fallback_max_standalone_info"
-        chosen = [max(range(len(frames)), key=lambda i: (gain(i), frames[i].quality, -frames[i].seq))]
-        have = Counter(bags[chosen[0]])
-        seen = frames[chosen[0]].cells
-        coverage = (1 - w) * have.total() / total + w * len(seen) / max(len(everywhere), 1)
-    return sorted(frames[i].seq for i in chosen), round(coverage, 4), reason
+def _bits(rows: list[list[int]], width: int) -> np.ndarray:
+    """Sets of numbers below ``width`` as rows of 64-bit words."""
+    out = np.zeros((len(rows), max(1, -(-width // 64))), np.uint64)
+    for r, numbers in zip(out, rows):
+        k = np.asarray(numbers, np.int64)
+        np.bitwise_or.at(r, k >> 6, np.uint64(1) << (k & 63).astype(np.uint64))
+    return out
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=-1).astype(np.int64)
+
+
+class Group:
+    """The frames of one group in order, with the sets that all modes share."""
+
+    def __init__(self, frames: Sequence[Frame]) -> None:
+        self.frames = sorted(frames, key=lambda f: f.seq)
+        known: dict[tuple, int] = {}
+        slots = [[known.setdefault((t, k), len(known)) for t, c in Counter(f.tokens).items() for k in range(c)] for f in self.frames]
+        place: dict = {}
+        cells = [[place.setdefault(c, len(place)) for c in f.cells] for f in self.frames]
+        self.slots, self.cells = _bits(slots, len(known)), _bits(cells, len(place))
+        self.first = _bits([[i for (_, k), i in known.items() if k == 0]], len(known))[0]
+        self.quality = np.array([1.0 if f.quality is None else float(f.quality) for f in self.frames])
+        self.event = np.array([f.event or 0.0 for f in self.frames])
+        self.blank = np.array([bool(f.blank) for f in self.frames], bool)
+        self._cosines: np.ndarray | None = None
+
+    def cosines(self) -> np.ndarray:
+        """Cosines of all pairs of frames; null (NaN) where one of them has no vector."""
+        if self._cosines is None:
+            n = len(self.frames)
+            dim = Counter(len(f.vector) for f in self.frames if f.vector is not None and len(f.vector)).most_common(1)
+            m = np.full((n, dim[0][0] if dim else 1), np.nan)
+            for i, f in enumerate(self.frames):
+                if f.vector is not None and dim and len(f.vector) == dim[0][0]:
+                    v = np.asarray(f.vector, float)
+                    m[i] = v / (np.linalg.norm(v) or 1.0)
+            self._cosines = m @ m.T
+        return self._cosines
+
+    def choose(self, mode: str, o: Options) -> Chosen:
+        """The greedy choice of one mode.
+
+        Scores, then gains, then quality tie within 1e-7; then the earlier frame wins.
+        """
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode}")
+        n = len(self.frames)
+        if not n:
+            return Chosen()
+        slots = self.slots & self.first if mode == "A" else self.slots
+        total = max(int(_ones(np.bitwise_or.reduce(slots, axis=0))), 1)
+        any_cell = int(_ones(np.bitwise_or.reduce(self.cells, axis=0))) if mode in SPATIAL else 0
+        places, w = max(any_cell, 1), o.w_spatial if any_cell else 0.0
+        quality = self.quality if mode in STEERED else np.ones(n)
+        have, seen, picked, audit = np.zeros_like(slots[0]), np.zeros_like(self.cells[0]), [], []
+        sim = self.cosines() if mode in DIVERSE or mode == "F" else None
+        if mode == "F":  # a frame without a vector is like itself alone
+            sim = np.where(np.isnan(sim), np.eye(n), sim)
+
+        def coverage() -> tuple[float, float, float]:
+            lexical = int(_ones(have)) / total
+            spatial = int(_ones(seen)) / places if any_cell else 1.0
+            return (1 - w) * lexical + w * spatial, lexical, spatial
+
+        def gains() -> np.ndarray:
+            return (1 - w) * _ones(slots & ~have) / total + w * _ones(self.cells & ~seen) / places
+
+        def best_of(who: np.ndarray, *ranks: np.ndarray) -> int:
+            best = -1
+            for i in who:
+                for r in ranks if best >= 0 else ():
+                    if abs(r[i] - r[best]) > 1e-7:
+                        if r[i] > r[best]:
+                            best = i
+                        break
+                best = i if best < 0 else best
+            return int(best)
+
+        def commit(i: int) -> None:
+            picked.append(i)
+            np.bitwise_or(have, slots[i], out=have)
+            if w > 0:
+                np.bitwise_or(seen, self.cells[i], out=seen)
+
+        free = ~self.blank
+        while True:
+            if coverage()[0] >= o.tau:
+                reason = REACHED
+                break
+            gain = gains()
+            who = np.flatnonzero(free & (gain >= o.epsilon))
+            if not len(who):
+                reason = FLOOR
+                break
+            far, event = np.zeros(n), self.event if mode == "E2" else np.zeros(n)
+            if mode in DIVERSE and picked:
+                apart = np.clip((1 - sim[:, picked]) / 2, 0, 1)
+                far = np.where(np.isnan(apart).all(axis=1), 0.0, np.where(np.isnan(apart), np.inf, apart).min(axis=1))
+            if mode == "F":
+                near = sim[:, picked].max(axis=1) if picked else np.zeros(n)
+                score = np.maximum(0.0, sim - near[:, None]).sum(axis=0) / n
+            else:
+                score = gain * quality * (1 + o.w_vector * far + o.w_event * event)
+            i = best_of(who, score, gain, quality)
+            commit(i)
+            free[i] = False
+            row = {"seq": self.frames[i].seq, "raw_info_gain": gain[i], "quality_score": quality[i], "vit_dist": far[i], "vit_multiplier": o.w_vector * far[i], "event_score": event[i], "event_multiplier": o.w_event * event[i], "selection_score": score[i]}
+            audit.append({k: v if k == "seq" else round(float(v), 4) for k, v in row.items()} | {"note": None})
+        if not picked:
+            reason = FALLBACK
+            pool = np.flatnonzero(~self.blank) if not self.blank.all() else np.arange(n)
+            alone = (1 - w) * _ones(slots) / total + (w * _ones(self.cells) / places if any_cell else w)
+            i = best_of(pool, alone, quality)
+            commit(i)
+            audit.append({"seq": self.frames[i].seq, "raw_info_gain": round(float(alone[i]), 4), "quality_score": round(float(quality[i]), 4), "selection_score": round(float(alone[i] * quality[i]), 4), "note": NOTE})
+        return Chosen(sorted(self.frames[i].seq for i in picked), *(round(v, 4) for v in coverage()), reason, audit)
+
+
+def choose(frames: list[Frame], mode: str = "B", o: Options | None = None) -> tuple[list[int], float, str]:
+    """(chosen seqs, coverage, stopping reason) of one group."""
+    c = Group(frames).choose(mode, o or Options())
+    return c.seqs, c.coverage, c.reason
 
 
 def cover(rows: list[tuple[int, list[str]]], mode: str = "B", tau: float = 0.95, epsilon: float = 0.02) -> tuple[list[int], float, str]:
@@ -120,13 +204,84 @@ def cover(rows: list[tuple[int, list[str]]], mode: str = "B", tau: float = 0.95,
     return choose([Frame(q, t) for q, t in rows], mode, Options(tau, epsilon))
 
 
-def select_frames(df: DataFrame, session: str, group: str, seq: str, tokens: str, mode: str = "B", tau: float = 0.95, epsilon: float = 0.02) -> DataFrame:
-    """One row a group: selected frames, coverage, compression, stopping reason."""
+def events(session: str, group: str, seq: str, loss: str, d_ssim: str, direction: str = "pre", least_loss: float = 0.3, least_ssim: float = 0.025) -> Column:
+    """What a transition inside the group loses, if it loses enough and the picture changes too; else 0.
+
+    ``loss`` and ``d_ssim`` are those of the transition to the next frame; ``pre``
+    looks at that one, ``post`` at the one before.
+    """
+    if direction not in ("pre", "post"):
+        raise ValueError("direction is pre or post")
+    w = Window.partitionBy(session, group).orderBy(seq)
+    inside = F.lead(F.lit(1)).over(w).isNotNull() if direction == "pre" else F.lag(F.lit(1)).over(w).isNotNull()
+    lost, moved = (F.col(loss), F.col(d_ssim)) if direction == "pre" else (F.lag(loss).over(w), F.lag(d_ssim).over(w))
+    return F.when(inside & (lost >= least_loss) & (F.coalesce(moved, F.lit(0.0)) >= least_ssim), lost).otherwise(0.0)
+
+
+#: What a mode reads besides tokens.
+NEEDS = {"A": (), "B": (), "C": ("cells",), "D": ("cells", "quality"), "E1": ("cells", "quality", "vector"), "E2": ("cells", "quality", "vector", "event"), "F": ("vector",)}
+AUDIT = "seq long, raw_info_gain double, quality_score double, vit_dist double, vit_multiplier double, event_score double, event_multiplier double, selection_score double, note string"
+
+
+def select(
+    df: DataFrame, session: str, group: str, seq: str, tokens: str, modes: Sequence[str] = ("B",), o: Options | None = None,
+    cells: str | None = None, quality: str | None = None, vector: str | None = None, event: str | None = None, blank: str | None = None,
+) -> DataFrame:
+    """One row a group and mode: selected, n_in, coverages, compression, reason and audit.
+
+    A mode whose columns are not named is refused.  Null tokens are none, a
+    null quality is 1, a null event 0; an empty table gives no rows.
+    """
+    o = o or Options()
+    named = {"cells": cells, "quality": quality, "vector": vector, "event": event, "blank": blank}
+    for mode in modes:
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode}")
+        if missing := [c for c in NEEDS[mode] if named[c] is None]:
+            raise ValueError(f"mode {mode} needs a column for {', '.join(missing)}")
+    used = {k: v for k, v in named.items() if v is not None}
+    d = df.select(F.col(session).alias("s"), F.col(group).cast("long").alias("group_id"), F.struct(F.col(seq).cast("long").alias("seq"), F.col(tokens).alias("tokens"), *[F.col(v).alias(k) for k, v in used.items()]).alias("f"))
+    d = d.groupBy("s", "group_id").agg(F.collect_list("f").alias("frames"))
     kind = df.schema[session].dataType.simpleString()
+    out = f"s {kind}, group_id long, mode string, selected array<long>, n_in long, n_selected long, coverage double, lexical_coverage double, spatial_coverage double, compression double, reason string, audit array<struct<{AUDIT.replace(' ', ':').replace(',:', ',')}>>"
+
+    table = StructType.fromDDL(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(table)
+        empty = dict.fromkeys(x.split()[0] for x in AUDIT.split(", "))
+        for batch in batches:
+            rows = []
+            for s, g, frames in zip(*(batch.column(c).to_pylist() for c in ("s", "group_id", "frames"))):
+                held = Group([Frame(f["seq"], f["tokens"] or [], frozenset(f.get("cells") or ()), 1.0 if f.get("quality") is None else f["quality"], f.get("vector"), f.get("event") or 0.0, bool(f.get("blank"))) for f in frames])
+                for mode in modes:
+                    c = held.choose(mode, o)
+                    rows.append((s, g, mode, c.seqs, len(frames), len(c.seqs), c.coverage, c.lexical, c.spatial, round(len(c.seqs) / len(frames), 4), c.reason, [empty | a for a in c.audit]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+
+    return d.mapInArrow(run, table)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen, coverage, reason = cover([(int(s), list(t)) for s, t in zip(pdf["q"], pdf["t"])], mode, tau, epsilon)
-        return pd.DataFrame({"s": pdf["s"].iloc[:1], "group_id": pdf["g"].iloc[:1], "selected": [chosen], "n_in": [len(pdf)], "coverage": [coverage], "compression": [round(len(chosen) / len(pdf), 4)], "reason": [reason]})
 
-    d = df.select(F.col(session).alias("s"), F.col(group).alias("g"), F.col(seq).alias("q"), F.col(tokens).alias("t"))
-    return d.groupBy("s", "g").applyInPandas(run, f"s {kind}, group_id long, selected array<long>, n_in long, coverage double, compression double, reason string")
+def select_frames(df: DataFrame, session: str, group: str, seq: str, tokens: str, mode: str = "B", tau: float = 0.95, epsilon: float = 0.02) -> DataFrame:
+    """One row a group: selected frames, coverage, compression, stopping reason (modes that read tokens only)."""
+    return select(df, session, group, seq, tokens, [mode], Options(tau, epsilon)).select("s", "group_id", "selected", "n_in", "coverage", "compression", "reason")
+
+
+def evaluate(selected: DataFrame, truth: DataFrame, by: Sequence[str] = ("mode",)) -> DataFrame:
+    """Counts, precision, recall, F1 and the recall of each role, per value of ``by``.
+
+    ``selected``: (session, seq, *by); ``truth``: (session, seq, role), a frame
+    once.  Truth is counted once for every value of ``by`` that selected anything.
+    """
+    mine = selected.select("session", "seq", *by).distinct()
+    t = truth.select("session", "seq", "role")
+    hit = mine.join(t, ["session", "seq"], "left")
+    counts = hit.groupBy(*by).agg(F.count(F.lit(1)).alias("n_selected"), F.count("role").alias("tp"), F.count_if(F.col("role") == "final").alias("tp_final"), F.count_if(F.col("role") == "state").alias("tp_state"))
+    sums = t.agg(F.count(F.lit(1)).alias("n_truth"), F.count_if(F.col("role") == "final").alias("n_final"), F.count_if(F.col("role") == "state").alias("n_state"))
+    c = counts.crossJoin(F.broadcast(sums))  # one row is broadcast
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 4)
+    c = c.withColumn("fp", F.col("n_selected") - F.col("tp")).withColumn("fn", F.col("n_truth") - F.col("tp")).withColumn("both", F.col("n_selected") + F.col("n_truth")).withColumn("twice", 2 * F.col("tp"))
+    return c.select(
+        *by, "tp", "fp", "fn", ratio("tp", "n_selected").alias("precision"), ratio("tp", "n_truth").alias("recall"), ratio("twice", "both").alias("f1"),
+        ratio("tp_final", "n_final").alias("final_recall"), ratio("tp_state", "n_state").alias("state_recall"), "n_truth", "n_final", "n_state", "n_selected",
+    )
