@@ -35,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table as it is now, kept in the folder that all executors share; what reads it twice sees the same rows."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def fingerprint(df: DataFrame) -> tuple[int, str]:
     """Rows of a table and a hash of its contents that does not depend on their order."""
     parts = F.xxhash64(*df.columns) if df.columns else F.lit(0).cast("long")
