@@ -44,3 +44,18 @@ def frame_seconds(name: Column, fallback: Column) -> Column:
     first = F.nullif(F.regexp_extract(name, r"(?i)frame_(\d+)", 1), F.lit(""))
     any_ = F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit(""))
     return F.coalesce(first, any_, fallback.cast("string")).cast("int")
+
+
+def block_type(text: Column) -> Column:
+    """formula or text, by what the characters are; null is text.
+
+    A character counts as the first of: mathematical symbol or Greek, letter,
+    digit.  Rules in order: an equals sign; more digits and mathematical
+    characters than letters; some of the latter with under five letters; at
+    most six characters with a digit and at most two letters.
+    """
+    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(""))
+    count = lambda cls: F.length(clean) - F.length(F.regexp_replace(clean, cls, ""))
+    math, letters, digits = count(r"[\p{Sm}\x{0370}-\x{03FF}]"), count(r"[\p{L}&&[^\x{0370}-\x{03FF}]]"), count(r"[\p{Nd}\x{00B2}\x{00B3}\x{00B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]")
+    formula = F.contains(clean, F.lit("=")) | (digits + math > letters) | ((math > 0) & (letters < 5)) | ((F.length(clean) <= 6) & (digits > 0) & (letters <= 2))
+    return F.when((clean != "") & formula, "formula").otherwise("text")

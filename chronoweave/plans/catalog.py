@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
 from chronoweave.operators import boundaries as bd
+from chronoweave.operators import curves
 from chronoweave.operators import learning as ml
 from chronoweave.operators import sequences as sq
 from chronoweave.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("s"), F.col("turn").alias("seq"), "role", tx.tokenize(tx.ascii_only("text")).alias("toks"))
@@ -260,10 +262,8 @@ def AG26_pivot(spark, sf):
 
 @query("WITH c AS (SELECT l_quantity AS x, sum((l_returnflag = 'R')::INT) AS p, sum((l_returnflag <> 'R')::INT) AS n FROM lineitem GROUP BY 1), w AS (SELECT p, n, sum(n) OVER (ORDER BY x) - n AS below FROM c) SELECT round(sum(p * (below + n / 2.0)) / (sum(p)::DOUBLE * sum(n)), 6) AS auc FROM w")
 def AG27_auc(spark, sf):
-    y = F.col("l_returnflag") == "R"
-    c = read(spark, sf, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.sum(y.cast("long")).alias("p"), F.sum((~y).cast("long")).alias("n"))
-    below = F.sum("n").over(Window.orderBy("x")) - F.col("n")  # a row a distinct score
-    return c.select("p", "n", below.alias("below")).agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p").cast("double") * F.sum("n")), 6).alias("auc"))
+    d = read(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity")
+    return curves.areas(d, "y", "l_quantity").select(F.round("auc", 6).alias("auc"))
 
 
 @query("SELECT p_partkey AS k, p_name AS name, 'part' AS src FROM part UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier")
@@ -403,7 +403,7 @@ _BOX = "CAST(floor(s_acctbal + 1000) AS BIGINT) AS x, (s_suppkey * 37) % 700 AS
  SELECT n_nationkey, CASE WHEN x1 IS NULL THEN 'NO_TEXT_REGION_DETECTED' ELSE 'CONTENT_DETECTED' END AS status, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1, coalesce(x2, 0) AS x2, coalesce(y2, 0) AS y2,
  coalesce((2000 * (x2 - x1) * (y2 - y1) + 7920000) // 15840000, 0) AS retained_permille FROM nation LEFT JOIN c ON s_nationkey = n_nationkey""")
 def F29_crop_box(spark, sf):
-    b = read(spark, sf, "supplier").selectExpr("s_nationkey", *_BOX.split(", (")[:1], "(" + _BOX.split(", (")[1])
+    b = read(spark, sf, "supplier").select("s_nationkey", F.floor(F.col("s_acctbal") + 1000).cast("long").alias("x"), (F.col("s_suppkey") * 37 % 700).alias("y"))
     ends = [F.greatest(F.lit(0), F.min("x") - 10).alias("x1"), F.greatest(F.lit(0), F.min("y") - 10).alias("y1"), F.least(F.lit(11000), F.max("x") + 60).alias("x2"), F.least(F.lit(720), F.max("y") + 30).alias("y2")]
     c = read(spark, sf, "nation").select("n_nationkey").join(b.groupBy("s_nationkey").agg(*ends), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     status = F.when(F.col("x1").isNull(), "NO_TEXT_REGION_DETECTED").otherwise("CONTENT_DETECTED").alias("status")
@@ -446,10 +446,17 @@ def SC8_keyframe_truth(spark, sf):
     return d.select("doc_id", F.when(F.col("toxic") == 1, "final").otherwise("state").alias("role"))
 
 
-@query("SELECT doc_id FROM documents WHERE source IN ('src0', 'src1') AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS marked, coalesce(max(toxic), 0)::INT AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND quality = 1 GROUP BY ALL")
+def SK12_marked(spark, sf):
+    """The set of candidates after labels of quality 1 were marked: every document, marked or not."""
+    m = read(spark, sf, "labels").where("quality = 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("marked", F.lit(True))
+    return read(spark, sf, "documents").select("doc_id").join(m, "doc_id", "left").select("doc_id", F.coalesce("marked", F.lit(False)).alias("marked"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def SK12_unmarked(spark, sf):
-    d = read(spark, sf, "documents").where(F.col("source").isin("src0", "src1")).select("doc_id")
-    return d.join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    """What is left after every labelled document was taken out."""
+    return read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("SELECT source, count(*)::BIGINT AS frames, sum((l.toxic = 1)::INT)::BIGINT AS final, sum((l.toxic = 0)::INT)::BIGINT AS state, round(1 - sum((l.quality = 1)::INT) / count(*)::DOUBLE, 4) AS compression FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
@@ -598,11 +605,13 @@ def PF9_divergent(spark, sf):
     return pairs(spark, sf).where((F.col("d_jaccard") >= TAU) != (F.col("score") >= TAU)).select("s", "seq_a")
 
 
-@query("WITH a AS (SELECT doc_id, quality AS role FROM labels), t AS (SELECT doc_id, 1 AS role FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(a.doc_id, t.doc_id) AS doc_id, coalesce(t.role, a.role)::INT AS role FROM a FULL JOIN t ON a.doc_id = t.doc_id WHERE a.role IS NULL OR t.role IS NULL OR a.role <> t.role")
+@query("WITH a AS (SELECT doc_id, quality AS role FROM labels), t AS (SELECT doc_id, toxic AS role FROM labels UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT coalesce(a.doc_id, t.doc_id) AS doc_id, coalesce(t.role, a.role)::INT AS role FROM a FULL JOIN t ON a.doc_id = t.doc_id WHERE a.role IS NULL OR t.role IS NULL OR a.role <> t.role")
 def PF17_role_toggle(spark, sf):
-    """The same role again deletes, another one overwrites."""
-    a = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("old"))
-    t = read(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("new"))
+    """The same role again deletes, another one overwrites: quality is the role held, toxic (1 for documents without a label) the one set."""
+    y = read(spark, sf, "labels")
+    a = y.select("doc_id", F.col("quality").cast("int").alias("old"))
+    bare = read(spark, sf, "documents").select("doc_id").join(y.select("doc_id"), "doc_id", "left_anti")
+    t = y.select("doc_id", F.col("toxic").cast("int").alias("new")).unionByName(bare.withColumn("new", F.lit(1)))
     d = a.join(t, "doc_id", "full").where("old is null or new is null or old <> new")
     return d.select("doc_id", F.coalesce("new", "old").alias("role"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions import text as tx
 from chronoweave.operators import curves, schemas, trees
 from chronoweave.plans import keyframes as kf
 from chronoweave.plans import lessons
@@ -212,15 +213,13 @@ def PF3_PF4_PF9_predicates(spark, sf):
     )
 
 
-@query("""WITH p AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages), n AS (SELECT page_id, length(regexp_replace(t, '[^\\p{Sm}]', '', 'g')) AS sm, length(regexp_replace(t, '[^\\x{0370}-\\x{03FF}]', '', 'g')) AS greek, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\\p{Nd}]', '', 'g')) AS digits FROM p)
- SELECT page_id, CASE WHEN sm > 0 AND sm >= 0.02 * letters THEN 'formula' WHEN greek > 0 AND letters < 200 THEN 'formula' WHEN letters > 0 THEN 'text' WHEN digits > 0 THEN 'number' ELSE 'other' END AS kind, sm::BIGINT AS symbols, letters::BIGINT AS letters, digits::BIGINT AS digits FROM n""")
+@query(r"""WITH b AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(coalesce(html, ''), '<[^>]*>|\n'), lambda x: trim(x) <> '')) AS t FROM pages), c AS (SELECT page_id, replace(t, ' ', '') AS t FROM b),
+ n AS (SELECT page_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '[\p{Sm}\x{0370}-\x{03FF}]', '', 'g')) AS m, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) - (length(t) - length(regexp_replace(t, '\p{Greek}', '', 'g'))) AS l, length(t) - length(regexp_replace(t, '[\p{Nd}²³¹⁰⁴-⁹₀-₉]', '', 'g')) AS d FROM c)
+ SELECT page_id, CASE WHEN t <> '' AND (contains(t, '=') OR d + m > l OR (m > 0 AND l < 5) OR (n <= 6 AND d > 0 AND l <= 2)) THEN 'formula' ELSE 'text' END AS kind, count(*)::BIGINT AS n, sum(n)::BIGINT AS chars FROM n GROUP BY 1, 2""")
 def F18_block_kinds(spark, sf):
-    """The kind of a page's text by Unicode classes, in order: mathematical symbols, Greek, letters, digits."""
-    t = F.regexp_replace("html", "<[^>]*>", " ")
-    count = lambda cls: F.length(F.regexp_replace(t, f"[^{cls}]", "")).cast("long")
-    d = read(spark, sf, "pages").select("page_id", count(r"\p{Sm}").alias("symbols"), count("Ͱ-Ͽ").alias("greek"), count(r"\p{L}").alias("letters"), count(r"\p{Nd}").alias("digits"))
-    kind = F.when((F.col("symbols") > 0) & (F.col("symbols") >= 0.02 * F.col("letters")), "formula").when((F.col("greek") > 0) & (F.col("letters") < 200), "formula").when(F.col("letters") > 0, "text").when(F.col("digits") > 0, "number").otherwise("other")
-    return d.select("page_id", kind.alias("kind"), "symbols", "letters", "digits")
+    """How many blocks of text between the tags of each page are formulas and how many are text."""
+    b = read(spark, sf, "pages").select("page_id", F.explode(F.filter(F.split(F.coalesce("html", F.lit("")), r"<[^>]*>|\n"), lambda t: F.trim(t) != "")).alias("t"))
+    return b.groupBy("page_id", tx.block_type(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.replace("t", F.lit(" "), F.lit("")))).alias("chars"))
 
 
 @query("WITH " + lessons.CHAIN + ", g AS (SELECT s, count(*) FILTER (quality IS NOT NULL) AS labelled, count(*) AS n FROM f LEFT JOIN labels ON doc_id = frame GROUP BY 1) SELECT s, n::BIGINT AS n_frames, labelled::BIGINT AS labelled, labelled > 0 AS has_runs, row_number() OVER (ORDER BY labelled > 0 DESC, s DESC)::BIGINT AS place FROM g")

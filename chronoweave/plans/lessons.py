@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import raster
 from chronoweave.functions import text as tx
 from chronoweave.operators import grouping as gr
+from chronoweave.operators import reading_order as ro
 from chronoweave.operators import sequences as sq
 from chronoweave.plans.registry import query, read
 
@@ -145,3 +146,24 @@ def AG2_by_approach(spark, sf):
     f = gr.splits(frames(spark, sf)).where("paired").select((8 * F.col("session") + F.col("seq")).alias("doc_id"), "a1", "a2", "b2").join(read(spark, sf, "labels"), "doc_id")
     u = f.select("quality", F.explode(F.array(*[F.struct(F.lit(k.upper()).alias("approach"), F.col(k).alias("pred")) for k in ("a1", "a2", "b2")])).alias("u"))
     return sq.confusion(u.select("u.approach", "u.pred", F.col("quality").alias("y")), "y", "pred", ["approach"])
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a frame's text as blocks of a page of 1280 x 720: short lines alternate between two columns, long ones are rows."""
+    f = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: t != "")).alias("block", "t"))
+    n, k = F.length("t"), F.col("block")
+    short, right = n < 120, (F.col("block") % 2) == 1
+    x1 = F.when(short & right, 700.0).otherwise(20.0)
+    return f.select(
+        F.struct("session", "seq").alias("page"), "block", "t", x1.alias("x1"), (x1 + F.when(short, F.least(F.lit(560.0), 6.0 * n)).otherwise(1240.0)).alias("x2"),
+        (40.0 * k + 10).alias("y1"), (40.0 * k + F.when(short, 30.0).otherwise(45.0)).alias("y2"), F.when(n % 5 == 0, 30.0).otherwise(20.0).alias("font"),
+    )
+
+
+@query()
+def X6_reading_order(spark, sf):
+    """Paragraph, band, column, line and place of every block, with its type."""
+    b = blocks(spark, sf)
+    found = ro.analyse(b, "page").withColumnRenamed("page", "p")
+    d = found.join(b.select(F.col("page").alias("p"), "block", "t"), ["p", "block"])
+    return d.select(F.col("p.session").alias("s"), F.col("p.seq").alias("seq"), "block", "paragraph_id", "band", "column_id", "line_id", "position", tx.block_type(F.col("t")).alias("kind"))
