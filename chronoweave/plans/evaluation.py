@@ -63,7 +63,7 @@ def J10_previous_chosen(spark, sf):
 @query(kf.SEARCH + ALL + """, se AS (SELECT s, seq, toks FROM al WHERE mode = 'B' AND mine), sm AS (SELECT a.s, a.seq AS a, b.seq AS b, CASE WHEN len(a.toks) = 0 AND len(b.toks) = 0 THEN 1.0::DOUBLE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0 ELSE round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks)))::DOUBLE, 4) END AS sim FROM se a JOIN f b ON a.s = b.s),
  i AS (SELECT sm.s, avg(sim) AS intra FROM sm JOIN se ON sm.s = se.s AND sm.b = se.seq WHERE a <> b GROUP BY 1), co AS (SELECT s, avg(m) AS coverage FROM (SELECT s, b, max(CASE WHEN a = b THEN 1 ELSE sim END) AS m FROM sm GROUP BY 1, 2) GROUP BY 1),
  cm AS (SELECT s, len(list_distinct(flatten(list(toks)))) / nullif(sum(len(list_distinct(toks))), 0)::DOUBLE AS complementarity FROM se GROUP BY 1)
- SELECT co.s, round(coalesce(intra, 0), 6) AS intra_similarity, round(coverage, 6) AS coverage, round(coalesce(complementarity, 0), 6) AS complementarity FROM co JOIN cm ON co.s = cm.s LEFT JOIN i ON i.s = co.s""")
+ SELECT co.s, round(coalesce(intra, 0) + 1e-9, 6) AS intra_similarity, round(coverage + 1e-9, 6) AS coverage, round(coalesce(complementarity, 0) + 1e-9, 6) AS complementarity FROM co JOIN cm ON co.s = cm.s LEFT JOIN i ON i.s = co.s""")
 def AG28_set_statistics(spark, sf):
     """Mean similarity inside the chosen set, how close every frame is to it, and the share of its tokens that are not said twice."""
     d = judged(spark, sf, ("B",)).withColumn("t", F.array_distinct("tokens"))
@@ -77,7 +77,7 @@ def AG28_set_statistics(spark, sf):
     per = best.groupBy("s").agg(F.avg("m").alias("coverage"), F.sum("x").alias("x"), F.sum("n").alias("n"))
     said = mine.select("s", F.explode("t").alias("tok")).groupBy("s", "tok").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.count(F.lit(1)).alias("u"), F.sum("c").alias("c"))
     per = per.join(said, "s", "left")
-    return per.select("s", F.round(F.coalesce(F.try_divide("x", "n"), F.lit(0.0)), 6).alias("intra_similarity"), F.round("coverage", 6).alias("coverage"), F.round(F.coalesce(F.try_divide("u", "c"), F.lit(0.0)), 6).alias("complementarity"))
+    return per.select("s", F.round(F.coalesce(F.try_divide("x", "n"), F.lit(0.0)) + 1e-9, 6).alias("intra_similarity"), F.round(F.col("coverage") + 1e-9, 6).alias("coverage"), F.round(F.coalesce(F.try_divide("u", "c"), F.lit(0.0)) + 1e-9, 6).alias("complementarity"))
 
 
 @query(kf.SEARCH + ALL + ", un2 AS (SELECT s, list_distinct(flatten(list(toks))) AS u FROM al WHERE mode = 'B' AND mine GROUP BY 1) SELECT al.s, seq, CASE WHEN len(toks) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(toks, u)) / len(list_distinct(toks))::DOUBLE, 6) END AS explained FROM al JOIN un2 ON al.s = un2.s WHERE mode = 'B'")

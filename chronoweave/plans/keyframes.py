@@ -78,11 +78,11 @@ def G1_modes(spark, sf):
     return chosen(spark, sf).select("mode", F.col("session").alias("s"), F.array_join(F.col("selected").cast("array<string>"), ",").alias("selected"), "n_in", "n_selected", "coverage", "lexical_coverage", "spatial_coverage", "compression", "reason")
 
 
-@query(SEARCH + " SELECT mode, sum(n)::BIGINT AS n_in, sum(len(picked))::BIGINT AS n_selected, round(100 * (1 - sum(len(picked)) / sum(n)::DOUBLE), 4) AS compression_pct, round(avg(round((1 - w) * lex + w * spa, 4)), 4) AS mean_coverage, sum((reason = 'coverage_target_reached')::INT)::BIGINT AS reached FROM res GROUP BY 1")
+@query(SEARCH + " SELECT mode, sum(n)::BIGINT AS n_in, sum(len(picked))::BIGINT AS n_selected, round(100 * (1 - sum(len(picked)) / sum(n)::DOUBLE), 4) AS compression_pct, round(avg(round((1 - w) * lex + w * spa, 4)) + 1e-9, 4) AS mean_coverage, sum((reason = 'coverage_target_reached')::INT)::BIGINT AS reached FROM res GROUP BY 1")
 def G3_AG7_mode_comparison(spark, sf):
     """Frames in and selected, compression and mean coverage of each mode over all groups."""
     return chosen(spark, sf).groupBy("mode").agg(
-        F.sum("n_in").alias("n_in"), F.sum("n_selected").alias("n_selected"), F.round(100 * (1 - F.sum("n_selected") / F.sum("n_in")), 4).alias("compression_pct"), F.round(F.avg("coverage"), 4).alias("mean_coverage"),
+        F.sum("n_in").alias("n_in"), F.sum("n_selected").alias("n_selected"), F.round(100 * (1 - F.sum("n_selected") / F.sum("n_in")), 4).alias("compression_pct"), F.round(F.avg("coverage") + 1e-9, 4).alias("mean_coverage"),
         F.count_if(F.col("reason") == sl.REACHED).alias("reached"),
     )
 
