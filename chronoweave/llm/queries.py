@@ -109,6 +109,29 @@ OP13 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' ||
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
 
 
+OP2 = r"""WITH tb AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce(list_concat([i], [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+ by_ AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, flatten(list_transform(string_split(coalesce(text, ''), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] WHEN unicode(x) < 2048 THEN [192 + unicode(x) // 64, 128 + unicode(x) % 64]
+   WHEN unicode(x) < 65536 THEN [224 + unicode(x) // 4096, 128 + unicode(x) // 64 % 64, 128 + unicode(x) % 64] ELSE [240 + unicode(x) // 262144, 128 + unicode(x) // 4096 % 64, 128 + unicode(x) // 64 % 64, 128 + unicode(x) % 64] END)) AS b FROM documents),
+ d AS (SELECT doc_id, source, size, xor(list_reduce(list_concat([4294967295::BIGINT], CASE WHEN size > 1 THEN b ELSE [] END), lambda c, x: xor(c >> 8, tb[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS text_crc32,
+   ('0x' || md5('42' || chr(31) || doc_id)[1:8])::BIGINT & 2147483647 AS pl, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS src FROM by_, tb),
+ r AS (SELECT *, floor((row_number() OVER (PARTITION BY src ORDER BY pl, doc_id, text_crc32, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY src) * 4503599627370496) AS f FROM d),
+ o AS (SELECT *, row_number() OVER (ORDER BY f, pl, src, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM r)
+ SELECT doc_id, source, size::BIGINT AS size, text_crc32, 'rows' AS law, (place * 8 // n)::INT AS shard, (place - (place * 8 // n * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard FROM o"""
+
+OP7 = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+ v AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 50], ' ') AS t FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM w WHERE len(w) >= 50)),
+ g AS (SELECT t, min({'d': doc_id, 's': s}) AS f FROM v GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+ p AS (SELECT doc_id, s, f.d AS first_, f.d <> doc_id OR f.s <> s AS removed FROM v JOIN g USING (t)),
+ i AS (SELECT *, sum(CASE WHEN s <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, removed ORDER BY s) AS k FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id, removed ORDER BY s) AS before FROM p))
+ SELECT doc_id, min(s)::INT AS start_word, (max(s) + 50 - min(s))::INT AS n_words, min(first_) AS first_doc_id, removed FROM i GROUP BY doc_id, removed, k"""
+
+OP8 = r"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings),
+ u AS (SELECT vec_id, label, list_transform(e, lambda x: x / n) AS e FROM v WHERE label IS NOT NULL AND n > 0 AND isfinite(n) AND len(list_filter(e, lambda x: x IS NULL)) = 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) >= 0.98),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+ SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id)::BIGINT AS n_links, least(vec_id, coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id)) AS component_id, vec_id = least(vec_id, coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id)) AS kept FROM embeddings"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -128,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": OP11, "op12_chat_format": OP12, "op13_fill_middle": OP13}
+    return {"op2_sharding": OP2, "op7_suffix_array_dedup": OP7, "op8_embedding_dedup": OP8, "op11_filter_audit": OP11, "op12_chat_format": OP12, "op13_fill_middle": OP13}

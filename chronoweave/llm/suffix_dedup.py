@@ -1,9 +1,10 @@
 """Suffix-array dedup: passages of ``min_words`` words or more that repeat across documents.
 
 *Sparse suffixes.*  Of all word suffixes only those at minimisers are kept: a
-position is kept if the hash of its first ``k`` words is the least of some
-``min_words - k + 1`` neighbouring ones.  Any repeated passage of ``min_words``
-words holds the same kept positions wherever it stands, so none is missed.
+window of ``min_words`` words is held by the position in it whose first ``k``
+words have the least hash, of equals by the first.  This position depends on
+the window's words alone, so a repeated window is held by the same suffix
+wherever it stands, and every window by one suffix only.
 
 *Neighbours.*  Suffixes with the same first k words are neighbours in suffix
 order; they are brought together by the hash of those words (not by one total
@@ -11,21 +12,25 @@ sort, so a passage that very many documents share is counted before it is
 shuffled).  Neighbours from at least two documents are compared by what stands
 around them.
 
-*Extension.*  The context of a suffix reaches as far left and right as a
-passage of ``min_words`` words through it can.  Where all neighbours agree on
-it, the match extends over all of it.  Where they differ, the match is extended
-word by word: every ``min_words``-word window through the position is hashed and
-found again in other documents.  The union is exact: the words covered by a
-window of ``min_words`` words that stands in two documents.
+*Extension.*  The context of a suffix reaches as far left and right as the
+windows it holds.  Where all neighbours agree on it, the match extends over all
+of it.  Where they differ, the match is extended word by word: every window
+that the suffix holds is hashed and found again in other documents.  The union
+is exact: the words covered by a window of ``min_words`` words that stands in
+two documents.
+
+Why no comparison of neighbours in one suffix order: a suffix's neighbour
+shares most words to its right, but a third suffix that shares fewer to the
+right and more to the left can be the only one with which it shares a whole
+window; such links would be lost.
 
 The first place (smallest doc_id, then position) of a window keeps it; later
 places are removed.  Words are white-space delimited and compared exactly.
 Null or short texts have no passages; rows without an id are left alone; equal
 rows count as one document, and rows that repeat an id with other texts are
-documents of their own, in the order of a hash of their texts.  Of equally
-small hashes all are minimisers.  An empty table gives no rows.  A very long
-text is read whole by one task, whose memory follows its length.  Extra
-columns, whatever their names, are ignored.
+documents of their own, in the order of a hash of their texts.  An empty table
+gives no rows.  A very long text is read whole by one task, whose memory
+follows its length.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,26 +43,22 @@ from chronoweave.llm import vector_text as vt
 from chronoweave.llm.common import Scratch, ddl, id_text, map_docs, rows_in
 
 
-def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
-    """op over every stretch of ``width`` values, by doubling."""
-    n, size = len(a) - width + 1, 1
-    while size * 2 <= width:
-        a = op(a[:-size], a[size:])
-        size *= 2
-    return op(a[:n], a[width - size : width - size + n]) if size < width else a[:n]
-
-
-def minimisers(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Indices whose value is the least of a valid stretch of ``width`` that holds them.
-
-    ``valid``: whether the stretch that begins at each index lies in one text.
-    """
+def anchors(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``width`` values that are valid, and the index of the least value of each (of equals the first)."""
     n = len(grams) - width + 1
     if n <= 0 or not valid[:n].any():
-        return np.empty(0, np.int64)
-    least = np.where(valid[:n], sliding(grams, width, np.minimum), np.uint64(0))
-    pad = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == grams)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, size = np.arange(len(grams)), 1
+
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(grams[a] <= grams[b], a, b)
+
+    while size * 2 <= width:
+        at = less(at[:-size], at[size:])
+        size *= 2
+    at = less(at[:n], at[width - size : width - size + n]) if size < width else at[:n]
+    s = np.flatnonzero(valid[:n])
+    return s, at[s]
 
 
 def _bounds(w: vt.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +67,8 @@ def _bounds(w: vt.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(df: DataFrame, min_words: int, k: int) -> DataFrame:
-    """gram, context, doc_id, pos, since, until: the kept suffixes of every text."""
-    around = min_words - k
+    """gram, context, doc_id, since, until: the kept suffixes of every text and the windows that each stands for."""
+    width = min_words - k + 1
 
     def run(batch):
         for part in rows_in([batch], 1_000_000):
@@ -79,21 +80,22 @@ def suffixes(df: DataFrame, min_words: int, k: int) -> DataFrame:
             r = vt.Ranges(w.hashes())
             i = np.arange(n)
             grams = r.hash(i, np.minimum(i + k, n))
-            grams[grams == 0] = 1
-            at = minimisers(grams, i + min_words <= hi, around + 1)
-            since, until = np.maximum(lo[at], at - around), np.minimum(hi[at], at + min_words)
-            base = lo[at]
+            s, at = anchors(grams, i + min_words <= hi, width)
+            if not len(s):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # the windows of one anchor are neighbours
+            since, until = s[new], s[np.append(new[1:], len(s)) - 1] + min_words
+            base = lo[since]
             yield {
-                "gram": grams[at].view(np.int64), "context": r.hash(since, until).view(np.int64), "doc_id": part.column(0).take(w.text_of()[at]),
-                "pos": (at - base).astype(np.int32), "since": (since - base).astype(np.int32), "until": (until - base).astype(np.int32),
+                "gram": grams[at[new]].view(np.int64), "context": r.hash(since, until).view(np.int64), "doc_id": part.column(0).take(w.text_of()[since]),
+                "since": (since - base).astype(np.int32), "until": (until - base).astype(np.int32),
             }
 
-    return map_docs(df, run, f"gram long, context long, doc_id {ddl(df, 'doc_id')}, pos int, since int, until int")
+    return map_docs(df, run, f"gram long, context long, doc_id {ddl(df, 'doc_id')}, since int, until int")
 
 
-def windows(df: DataFrame, min_words: int, k: int) -> DataFrame:
-    """window, doc_id, since: hashes of all windows through the places ``at`` of each text."""
-    around = min_words - k
+def windows(df: DataFrame, min_words: int) -> DataFrame:
+    """window, doc_id, since: hashes of all windows in the stretches ``at`` of each text."""
 
     def run(batch):
         for part in rows_in([batch], 1_000_000):
@@ -101,16 +103,10 @@ def windows(df: DataFrame, min_words: int, k: int) -> DataFrame:
             r = vt.Ranges(w.hashes())
             starts, owner = [], []
             for row, places in enumerate(part.column(2).to_pylist()):
-                lo, n = int(w.first[row]), int(w.counts[row])
-                if n < min_words:
-                    continue
-                p = np.asarray(places, np.int64)
-                mask = np.zeros(n + 2, np.int64)
-                np.add.at(mask, np.maximum(0, p - around), 1)
-                np.add.at(mask, np.minimum(p, n - min_words) + 1, -1)
-                s = np.flatnonzero(np.cumsum(mask)[: n - min_words + 1] > 0)
-                starts.append(s + lo)
-                owner.append(np.full(len(s), row))
+                for p in places:
+                    first = int(w.first[row]) + p["since"]
+                    starts.append(np.arange(first, first + p["until"] - p["since"] - min_words + 1))
+                    owner.append(np.full(len(starts[-1]), row))
             if starts:
                 s, o = np.concatenate(starts), np.concatenate(owner)
                 yield {"window": r.hash(s, s + min_words).view(np.int64), "doc_id": part.column(0).take(o), "since": (s - w.first[o]).astype(np.int32)}
@@ -158,9 +154,9 @@ def _passages(df: DataFrame, min_words: int, k: int) -> DataFrame:
     repeated = scratch.table(groups.select("gram", "mixed"))  # written first, so that a frequent gram's rows can be split over tasks
     near = scratch.table(kept.join(repeated.hint("merge"), "gram"))
     scratch.drop(kept)
-    whole = _places(near.where("not mixed and until - since >= " + str(min_words)), "gram", F.col("until"), scratch)
-    at = near.where("mixed").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    met = scratch.table(windows(df.join(at.hint("merge"), "doc_id").select("doc_id", "text", "at"), min_words, k))
+    whole = _places(near.where("not mixed"), "gram", F.col("until"), scratch)
+    at = near.where("mixed").groupBy("doc_id").agg(F.collect_list(F.struct("since", "until")).alias("at"))
+    met = scratch.table(windows(df.join(at.hint("merge"), "doc_id").select("doc_id", "text", "at"), min_words))
     parts = _places(met, "window", F.col("since") + min_words, scratch)
     both = whole.unionByName(parts)
     order = Window.partitionBy("doc_id", "removed").orderBy("since", "until")
