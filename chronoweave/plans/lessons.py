@@ -27,11 +27,12 @@ def tile(embedding):
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding", tile(F.col("embedding")).alias("tile"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding")
     line = lambda t, k: F.array(F.lit(0.1), 0.1 + 0.05 * k, 0.1 + 0.8 * F.least(F.lit(1.0), F.length(t) / 240.0), 0.14 + 0.05 * k)
     boxes = F.transform(F.filter(F.split("text", "\n"), lambda t: t != ""), line)
-    c = c.select("session", "seq", (8 * F.col("session") + F.col("seq")).alias("frame"), tx.tokenize(tx.ascii_only(F.col("text"))).alias("tokens"), boxes.alias("boxes"))
-    return c.join(e, "frame", "left")
+    c = c.withColumn("frame", 8 * F.col("session") + F.col("seq")).join(e, "frame", "left")
+    # Lists of tokens are larger than the text: they are made after the shuffle.
+    return c.select("frame", "session", "seq", tx.tokenize(tx.ascii_only(F.col("text"))).alias("tokens"), boxes.alias("boxes"), "embedding", tile(F.col("embedding")).alias("tile"))
 
 CHAIN = r"""f AS (SELECT conv_id AS s, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, 8 * conv_id + turn AS frame,
   regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g')), '\b[a-zA-Z0-9_\-\$]+\b') AS toks, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM conversations),
