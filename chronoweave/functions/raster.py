@@ -112,3 +112,17 @@ def layout_change(a: Column, b: Column, side: int = 256) -> Column:
 def inside(boxes: Column, left: float = 0.08, right: float = 0.95, top: float = 0.08, bottom: float = 0.62) -> Column:
     """How many boxes lie in a region, ends included."""
     return F.size(F.filter(whole(boxes), lambda b: (b[0] >= left) & (b[2] <= right) & (b[1] >= top) & (b[3] <= bottom)))
+
+
+def area(box: Column) -> Column:
+    """The share of the page a box fills; boxes turned over fill nothing."""
+    return F.greatest(F.lit(0.0), box[2] - box[0]) * F.greatest(F.lit(0.0), box[3] - box[1])
+
+
+def large(boxes: Column, least: float = 0.02, keep_largest: bool = True) -> Column:
+    """The boxes of at least a share of the page; where there is none, the largest (of several the first)."""
+    kept = F.filter(whole(boxes), lambda b: area(b) >= least)
+    if not keep_largest:
+        return kept
+    best = F.array_max(F.transform(whole(boxes), area))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(F.filter(whole(boxes), lambda b: area(b) == best), 1, 1))

@@ -56,3 +56,14 @@ def tile_ssim_distance(a: Column, b: Column, side: int = 8, window: int = 7, spa
     mean = F.aggregate(F.transform(windows, similarity), F.lit(0.0), lambda s, x: s + x) / len(offsets)
     whole = (F.size(a) == side * side) & (F.size(b) == side * side)
     return F.when(F.coalesce(whole, F.lit(False)), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)), 4)).otherwise(F.lit(1.0))
+
+
+def unit_distance(a: Column, b: Column) -> Column:
+    """(1 - a . b) / 2 clipped to [0, 1], for unit vectors; 0 if one is missing."""
+    return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - dot(a, b)) / 2))), F.lit(0.0))
+
+
+def is_histogram(h: Column, near: float = 1e-5) -> Column:
+    """Whether all numbers are finite and not negative and sum to 1; null is no histogram."""
+    good = ~F.exists(h, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf")))
+    return F.coalesce(good & (F.abs(F.aggregate(h, F.lit(0.0), lambda s, x: s + x.cast("double")) - 1) <= near), F.lit(False))

@@ -27,7 +27,7 @@ def candidates(spark, sf) -> DataFrame:
     f = lessons.frames(spark, sf)
     q = read(spark, sf, "events").select(F.col("event_id").alias("frame"), F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.col("value") / 100)).alias("quality"))
     f = f.join(q, "frame", "left").withColumn("quality", F.coalesce("quality", F.lit(1.0))).withColumn("group_id", F.lit(1).cast("long"))
-    f = f.withColumn("cells", F.array_distinct(F.flatten(F.transform(raster.whole(F.col("boxes")), cells))))
+    f = f.withColumn("cells", F.array_distinct(F.flatten(F.transform(raster.whole(F.col("boxes")), lambda b: cells(b)))))
     w = Window.partitionBy("session").orderBy("seq")
     f = f.withColumn("loss", tx.loss(F.col("tokens"), F.lead("tokens").over(w))).withColumn("d_ssim", vec.tile_ssim_distance(F.col("tile"), F.lead("tile").over(w)))
     return f.withColumn("event", sl.events("session", "group_id", "seq", "loss", "d_ssim"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from chronoweave.plans import catalog, evaluation, keyframes, lessons, persistence, pictures, runs  # noqa: F401
+from chronoweave.plans import catalog, evaluation, exports, keyframes, lessons, persistence, pictures, runs  # noqa: F401
 from chronoweave.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
