@@ -1,4 +1,4 @@
-"""Readers: images, feature tables, ground truth, run snapshots, file listings."""
+"""Readers: images, feature tables, ground truth, file listings; runs are read by ``store``."""
 
 from __future__ import annotations
 
@@ -56,10 +56,19 @@ def keyframe_truth(raw: DataFrame, order: Column, partition: str | None = None)
     return keep_first(d, ["frame_filename"], [order.desc()])
 
 
-def snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Run snapshots, newest first; missing fields get defaults, corrupt files are skipped."""
-    schema = "snapshot_id string, saved_at string, tag string, approach_a1 struct<num_groups:long>, approach_a2 struct<num_groups:long>, approach_b2 struct<num_groups:long>, divergences_count long"
-    d = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "run_*.json").json(folder)
-    zero = F.lit(0).cast("long")
-    counts = [F.coalesce(F.col(f"approach_{k}.num_groups"), zero).alias(f"groups_{k}") for k in ("a1", "a2", "b2")]
-    return d.where("snapshot_id is not null").select("snapshot_id", "saved_at", F.coalesce("tag", F.lit("")).alias("tag"), *counts, F.coalesce("divergences_count", zero).alias("divergences")).orderBy(F.desc("saved_at"))
+def saved_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """session, csv, manifest-free json and newest change of every folder ``session_*`` below root, newest first.
+
+    Of several files of a kind the first by name counts; a folder without CSV
+    is no saved session.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "session string, csv string, json string, modified timestamp")
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,json}").load(root).select("path", "modificationTime")
+    parts = F.split("path", "/")
+    d = d.select("path", F.element_at(parts, -2).alias("session"), F.element_at(parts, -1).alias("name"), F.col("modificationTime").alias("at")).where(F.startswith("session", F.lit("session_")))
+    of = lambda end, ok: F.min_by(F.when(F.endswith("name", F.lit(end)) & ok, F.col("path")), F.when(F.endswith("name", F.lit(end)) & ok, F.col("name")))
+    plain = ~F.contains(F.lower("name"), F.lit("manifest"))
+    found = d.groupBy("session").agg(of(".csv", F.lit(True)).alias("csv"), of(".json", plain).alias("json"), F.max("at").alias("modified"))
+    return found.where("csv is not null").orderBy(F.desc("modified"), "session")

@@ -1,4 +1,4 @@
-"""Writers: versioned datasets, labels, snapshots and routed frames."""
+"""Writers: versioned datasets, labels and routed frames; runs are kept by ``store``."""
 
 from __future__ import annotations
 
@@ -31,12 +31,6 @@ def keyframes(df: DataFrame, path: str) -> None:
     labels(df.orderBy("group_id", "timestamp_sec", "frame_filename"), path)
 
 
-def snapshot(df: DataFrame, root: str, snapshot_id: str, tag: str = "") -> None:
-    """An immutable run below root, one partition a snapshot."""
-    out = df.withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("tag", F.lit(tag or "untagged"))
-    out.write.mode("append").partitionBy("snapshot_id").json(root)
-
-
 def routed(df: DataFrame, root: str, by: str = "prediction") -> None:
     """Frames below one folder a prediction."""
     df.write.mode("overwrite").partitionBy(by).parquet(root)
