@@ -4,29 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.ranks import with_below
 
-def areas(df: DataFrame, label: str, score: str, buckets: int = 256) -> DataFrame:
+
+def areas(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: auc, average_precision, positives, negatives; ties count half, null scores and labels are left out.
 
-    Scores are counted, then dealt to ranges of the score; what lies below a
-    range is a sum over at most ``buckets`` rows, so no task sorts all scores.
+    Scores are counted and ranked range by range, so no task sorts all scores.
     Where there is only one label, both areas are null.
     """
     d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     y = (F.col(label) == 1).cast("long")
     c = d.groupBy(F.col(score).cast("double").alias("x")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    ends = c.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    c = c.crossJoin(F.broadcast(ends))  # one row is broadcast
-    b = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))).otherwise(0).cast("int")
-    c = c.withColumn("b", b)
-    whole = c.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    up = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    whole = whole.select("b", F.coalesce(F.sum("bp").over(up), F.lit(0)).alias("under_p"), F.coalesce(F.sum("bn").over(up), F.lit(0)).alias("under_n"))
-    inside = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.join(F.broadcast(whole), "b").select("*", (F.col("under_p") + F.coalesce(F.sum("p").over(inside), F.lit(0))).alias("below_p"), (F.col("under_n") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below_n"))
+    ends = c.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    c = with_below(c, [], "x", ["p", "n"]).crossJoin(F.broadcast(ends))  # one row is broadcast
     at_least = (F.col("all_p") - F.col("below_p")).cast("double")
     everyone = F.col("all_p") + F.col("all_n") - F.col("below_p") - F.col("below_n")
     t = c.agg(

@@ -8,10 +8,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.ranks import one_row, quantiles
+
 
 def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - median) / IQR with exact quartiles; an IQR of 0 counts as 1."""
-    q = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias(c) for c in cols]).select(*[F.col(c).alias(f"__q_{c}") for c in cols])
+    q = one_row(quantiles(df, cols, (0.25, 0.5, 0.75)), cols).select(*[F.col(c).alias(f"__q_{c}") for c in cols])
     iqr = lambda c: F.col(f"__q_{c}")[2] - F.col(f"__q_{c}")[0]
     scaled = {c: (F.col(c) - F.col(f"__q_{c}")[1]) / F.when(iqr(c) == 0, 1.0).otherwise(iqr(c)) for c in cols}
     return df.crossJoin(F.broadcast(q)).withColumns(scaled).drop(*[f"__q_{c}" for c in cols])  # q is one row

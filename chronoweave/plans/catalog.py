@@ -14,6 +14,7 @@ from chronoweave.functions import vectors as vec
 from chronoweave.operators import boundaries as bd
 from chronoweave.operators import curves
 from chronoweave.operators import learning as ml
+from chronoweave.operators import ranks
 from chronoweave.operators import sequences as sq
 from chronoweave.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
@@ -234,9 +235,10 @@ def AG9_profile(spark, sf):
 
 @query("SELECT count(l_quantity)::BIGINT AS n, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS lo, quantile_cont(l_quantity, 0.25) AS q25, quantile_cont(l_quantity, 0.5) AS q50, quantile_cont(l_quantity, 0.75) AS q75, max(l_quantity) AS hi FROM lineitem")
 def AG10_describe(spark, sf):
-    q = F.percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    d = read(spark, sf, "lineitem").agg(F.count("l_quantity").alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.stddev_samp("l_quantity"), 4).alias("std"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), q)
-    return d.select("n", "mean", "std", "lo", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "hi")
+    d = read(spark, sf, "lineitem")
+    sums = d.agg(F.count("l_quantity").alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.stddev_samp("l_quantity"), 4).alias("std"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    q = ranks.one_row(ranks.quantiles(d, ["l_quantity"], [0.25, 0.5, 0.75]), ["l_quantity"])
+    return sums.crossJoin(F.broadcast(q)).select("n", "mean", "std", "lo", *[F.col("l_quantity")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "hi")  # one row is broadcast
 
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -251,7 +253,10 @@ def AG11_correlations(spark, sf):
 
 @query("SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS med_{c}, round(quantile_cont({c}, 0.99), 4) AS q99_{c}, stddev_samp({c}) = 0 AS flat_{c}" for c in NUMERIC) + " FROM lineitem")
 def AG12_medians(spark, sf):
-    return read(spark, sf, "lineitem").agg(*[e for c in NUMERIC for e in (F.percentile(c, 0.5).alias(f"med_{c}"), F.round(F.percentile(c, 0.99), 4).alias(f"q99_{c}"), (F.stddev_samp(c) == 0).alias(f"flat_{c}"))])
+    d = read(spark, sf, "lineitem")
+    q = ranks.one_row(ranks.quantiles(d, NUMERIC, [0.5, 0.99]), NUMERIC)
+    flat = d.agg(*[(F.stddev_samp(c) == 0).alias(f"flat_{c}") for c in NUMERIC])
+    return flat.crossJoin(F.broadcast(q)).select(*[e for c in NUMERIC for e in (F.col(c)[0].alias(f"med_{c}"), F.round(F.col(c)[1], 4).alias(f"q99_{c}"), F.col(f"flat_{c}"))])  # one row is broadcast
 
 
 @query("SELECT o_orderpriority, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS F, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS O, round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS P FROM orders GROUP BY 1")
@@ -414,9 +419,9 @@ def F29_crop_box(spark, sf):
 @query("WITH q AS (SELECT quantile_cont(l_tax, 0.5) AS med, quantile_cont(l_tax, 0.99) AS q99 FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN q99 > 0 THEN least(coalesce(nullif(l_tax, 0), med), 10 * q99) ELSE coalesce(nullif(l_tax, 0), med) END AS tax FROM lineitem, q")
 def F30_impute_clip(spark, sf):
     d = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
-    q = d.agg(F.percentile("l_tax", 0.5).alias("med"), F.percentile("l_tax", 0.99).alias("q99"))  # one row is broadcast
+    q = ranks.one_row(ranks.quantiles(d, ["l_tax"], [0.5, 0.99]), ["l_tax"]).select(F.col("l_tax")[0].alias("med"), F.col("l_tax")[1].alias("q99"))
     filled = F.coalesce(F.nullif("l_tax", F.lit(0.0)), F.col("med"))
-    return d.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.when(F.col("q99") > 0, F.least(filled, 10 * F.col("q99"))).otherwise(filled).alias("tax"))
+    return d.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.when(F.col("q99") > 0, F.least(filled, 10 * F.col("q99"))).otherwise(filled).alias("tax"))  # one row is broadcast
 
 
 @query("SELECT event_id, user_id, CASE WHEN value < 0 THEN 'negative' ELSE 'above' END AS violation FROM events WHERE value < 0 OR value > 100")
@@ -472,8 +477,10 @@ def AG30_grouping_sets(spark, sf):
 
 @query("SELECT l_returnflag, round(avg(l_extendedprice), 2) AS mean, quantile_cont(l_extendedprice, 0.5) AS med, round(stddev_pop(l_extendedprice), 2) AS std, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1")
 def AG22_category_stats(spark, sf):
-    x = "l_extendedprice"
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(x), 2).alias("mean"), F.percentile(x, 0.5).alias("med"), F.round(F.stddev_pop(x), 2).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    x, d = "l_extendedprice", read(spark, sf, "lineitem")
+    q = ranks.quantiles(d, [x], [0.5], ["l_returnflag"]).select("l_returnflag", F.col("q")[0].alias("med"))
+    s = d.groupBy("l_returnflag").agg(F.round(F.avg(x), 2).alias("mean"), F.round(F.stddev_pop(x), 2).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return s.join(q.withColumnRenamed("l_returnflag", "f"), F.col("l_returnflag").eqNullSafe(F.col("f")), "left").select("l_returnflag", "mean", "med", "std", "lo", "hi")
 
 
 @query("SELECT lam, l_returnflag, sum((l_discount >= lam)::INT)::BIGINT AS kept, sum((l_discount < lam)::INT)::BIGINT AS dropped FROM lineitem, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.08::DOUBLE)) t(lam) GROUP BY 1, 2")

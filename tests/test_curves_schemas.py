@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import curves, schemas
+from chronoweave.operators import curves, ranks, schemas
 
 
 def test_areas(spark):
@@ -16,9 +17,8 @@ def test_areas(spark):
     pos, neg = [x for y, x in good if y], [x for y, x in good if not y]
     auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
     ap = sum(sum(q >= p for q in pos) / sum(q >= p for _, q in good) for p in pos) / len(pos)
-    for buckets in (1, 3, 256):
-        r = curves.areas(df, "y", "x", buckets).first()
-        assert abs(r["auc"] - auc) < 1e-9 and abs(r["average_precision"] - ap) < 1e-9 and (r["positives"], r["negatives"]) == (len(pos), len(neg))
+    r = curves.areas(df, "y", "x").first()
+    assert abs(r["auc"] - auc) < 1e-9 and abs(r["average_precision"] - ap) < 1e-9 and (r["positives"], r["negatives"]) == (len(pos), len(neg))
     assert tuple(curves.areas(df.limit(0), "y", "x").first()) == (None, None, 0, 0)
     assert curves.areas(df.where("y = 1"), "y", "x").first()["auc"] is None
 
@@ -62,3 +62,21 @@ def test_columns_by_name():
     c = ["FrameA_Brightness", "FrameB_Edge", "GroundTruth", "SSIM_Mean", "Gray_Hist_Dist_Bhattacharyya", "Grid_Edge_Diff", "Global_RGB_Hist_Mean", "MAD"]
     assert schemas.deltas(c) == c[3:] and schemas.pruned(c) == c[3:6]
     assert [schemas.kind(x) for x in c] == ["brightness", "edge density", "other", "structural similarity", "histogram comparison", "edge density", "histogram", "other"]
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, float("nan")]) if rng.random() < 0.1 else rng.choice([1e12, -1e12, 7.0, 7.0, 7.0, rng.random()]), rng.randrange(5)) for _ in range(600)] + [("only null", None, None), ("one", 3.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, k int").repartition(3)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.99, 1.0]
+    got = {(r["g"], r["feature"]): r["q"] for r in ranks.quantiles(df, ["x", "k"], shares, ["g"]).collect()}
+    for g in ("a", "b", "c", None, "one"):
+        x = [v for h, v, _ in rows if h == g and v is not None and v == v]
+        assert np.allclose(got[g, "x"], np.quantile(x, shares), rtol=1e-12) and np.allclose(got[g, "k"], np.quantile([k for h, _, k in rows if h == g], shares))
+    assert not any(g == "only null" for g, _ in got)
+    whole = ranks.one_row(ranks.quantiles(df, ["x"], shares), ["x"]).first()["x"]
+    assert np.allclose(whole, np.quantile([v for _, v, _ in rows if v is not None and v == v], shares), rtol=1e-12)
+    assert ranks.one_row(ranks.quantiles(df.limit(0), ["x"], shares), ["x"]).first()["x"] is None
+    for n in (1, 2, 64):
+        c = spark.range(500).select((F.col("id") * F.col("id")).alias("v"), F.lit(1).cast("long").alias("n"))
+        assert [r["below_n"] for r in ranks.with_below(c, [], "v", ["n"], n).orderBy("v").collect()] == list(range(500))
