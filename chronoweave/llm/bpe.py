@@ -12,7 +12,9 @@ The result equals rank-ordered merging, in time linear in the text.
 table turns an array of ids into an array of byte positions.
 
 Null text counts as empty; an empty text has no ids.  Equal texts give equal
-ids.  Extra input columns are ignored.  Repeated rows give repeated results.
+ids.  Extra input columns are ignored.  Repeated rows give repeated results;
+an empty table gives no rows.  A very long text is encoded whole by one task,
+whose memory follows its length.
 """
 
 from __future__ import annotations

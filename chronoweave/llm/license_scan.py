@@ -11,7 +11,10 @@ the largest share of the template is its span, and a template covered to
 automaton, so long stretches of other text are skipped at array speed.
 
 Null or empty text: no words, empty labels, score 0.  Repeated rows repeat
-results; extra columns are ignored.
+results; an empty table gives no rows; extra columns are ignored.  Of chains
+that cover a template equally the first found gives the span; labels do not
+depend on it.  A very long text is scanned whole by one task, whose memory
+follows its length.
 """
 
 from __future__ import annotations

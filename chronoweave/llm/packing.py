@@ -15,7 +15,9 @@ piece with what remains.  Pieces are packed by length alone:
   and the plan turns (length, rank) into (sequence, offset).
 
 Null text counts as empty (one piece of the end id).  Repeated rows are packed
-one by one.  Empty input gives no pieces.  Extra columns are ignored.
+one by one.  Empty input gives no pieces.  Extra columns are ignored.  Pieces
+of one length are interchangeable: a hash of the id decides, then id and piece.
+A very long text is encoded whole by one task, whose memory follows its length.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ Law ``rows``: the sizes of the shards differ by one row at most.
 Both rankings go through ``ranking.ranked``: a source that holds most rows is
 ranked in many tasks.  Only ids, sizes and checksums are shuffled, never texts.
 Null sources are a stratum of their own; null text counts as empty; repeated
-rows are rows; empty input gives no rows.  Extra columns are ignored.
+rows are rows; empty input gives no rows.  Extra columns are ignored.  Equal
+fractional ranks are ordered by the hash, then source, id, checksum and size;
+rows equal in all of these take their places in any order.  Of a very long text
+only size and checksum are kept.
 """
 
 from __future__ import annotations

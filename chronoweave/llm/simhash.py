@@ -16,7 +16,9 @@ pair.  Links join classes; components spread over links.
 
 Null text counts as empty; texts without a word have the fingerprint zero,
 which links like any other.  Repeated rows are in one class.  Empty input
-gives no rows.  Extra columns are ignored.
+gives no rows.  Extra columns are ignored.  A bit that exactly half the values
+have is 0.  A very long text is hashed whole by one task, whose memory follows
+its length.
 """
 
 from __future__ import annotations
