@@ -10,6 +10,7 @@ from chronoweave.functions import vectors as vec
 from chronoweave.operators import anova
 from chronoweave.operators import grouping as gr
 from chronoweave.operators import images as im
+from chronoweave.operators import sampling
 from chronoweave.operators import sequences as sq
 from chronoweave.plans import keyframes as kf
 from chronoweave.plans import lessons, pictures
@@ -127,3 +128,17 @@ def AG16_group_cells(spark, sf):
     c = kf.candidates(spark, sf).select(F.col("session").alias("s"), F.explode("cells").alias("cell"))
     per = c.groupBy("s", "cell").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("s").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_held"))
+
+
+@query("WITH d AS (SELECT c_custkey, c_mktsegment, ('0x' || md5('42|' || c_custkey)[1:13])::BIGINT AS lot FROM customer) SELECT c_custkey, c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY lot) <= floor(count(*) OVER (PARTITION BY c_mktsegment) * 0.2::DOUBLE + 0.5::DOUBLE))::INT AS test FROM d")
+def M7_seeded_split(spark, sf):
+    """A fifth of each segment's customers, drawn with a seed."""
+    return sampling.stratified(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey")
+
+
+@query("WITH p AS (SELECT o_orderpriority AS name, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS F, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS O, avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS P FROM orders GROUP BY 1) SELECT name, round(F, 2) AS F, round(O, 2) AS O, round(P, 2) AS P, round((F + O + P) / 3, 2) AS macro FROM p UNION ALL SELECT 'macro', round(avg(F), 2), round(avg(O), 2), round(avg(P), 2), round((avg(F) + avg(O) + avg(P)) / 3, 2) FROM p")
+def AG26_macro_average(spark, sf):
+    """Mean price by priority and status, with the unweighted mean of each row and of each column."""
+    d = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    d = d.unionByName(d.agg(*[F.avg(c).alias(c) for c in "FOP"]).withColumn("name", F.lit("macro")))
+    return d.select("name", *[F.round(c, 2).alias(c) for c in "FOP"], F.round((F.col("F") + F.col("O") + F.col("P")) / 3, 2).alias("macro"))
