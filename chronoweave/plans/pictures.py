@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.operators import images as im
+from chronoweave.operators import pixels as px
 from chronoweave.operators import sequences as sq
 from chronoweave.plans.lessons import tile
 from chronoweave.plans.registry import query, read
@@ -175,3 +176,24 @@ def X1_X2_pairwise_features(spark, sf):
     six = {"brightness": "histogram.a_brightness", "contrast": "histogram.a_contrast", "entropy": "histogram.a_entropy", "edge_change": "edge.whole_edge_density_diff", "text_change": "text.text_occupancy_diff", "mad": "ssim.mean_absolute_difference"}
     five = {"ssim_mean": "ssim.ssim_mean", **{m: _scaled(m, f"histogram.gray_hist_dist_global_{_source(m)}") for m in MEASURES}}
     return e.select("vec_id", *[F.round(F.expr(x), k).alias(n) for k, d in ((6, six), (5, five)) for n, x in d.items()], F.size("log").cast("long").alias("n_failed"))
+
+
+def _pixels(a: np.ndarray, b: np.ndarray, c: im.Config) -> dict[str, np.ndarray]:
+    """Sharpness, the sum of the half-sized picture, mean absolute difference and pixels that changed by over 15."""
+    x, y = im.gray_of(a), im.gray_of(b)
+    apart = np.abs(x.astype(np.int64) - y)
+    small = [px.resize(g, g.shape[0] // 2, g.shape[1] // 2).astype(np.float64).sum() for g in x]
+    return {"sharpness": np.array([px.laplacian_variance(g) for g in x]), "small": np.array(small), "mad": apart.mean(axis=(1, 2)), "changed": (apart > 15).sum(axis=(1, 2)).astype(np.float64)}
+
+
+_at = lambda y, x: f"px[{_mirror(y)} * 8 + {_mirror(x)} + 1]"
+
+
+@query(f"""WITH {TILES}, pix AS (SELECT vec_id, px, p // 8 AS y, p % 8 AS x FROM t, range(64) r(p)), la AS (SELECT vec_id, var_pop({_at('y - 1', 'x')} + {_at('y + 1', 'x')} + {_at('y', 'x - 1')} + {_at('y', 'x + 1')} - 4 * px[y * 8 + x + 1]) AS sharpness FROM pix GROUP BY 1),
+ sm AS (SELECT vec_id, sum(round_even((px[i] + px[i + 1] + px[i + 8] + px[i + 9]) / 4, 0)) AS small FROM (SELECT vec_id, px, 16 * (c // 4) + 2 * (c % 4) + 1 AS i FROM t, range(16) r(c)) GROUP BY 1)
+ SELECT pr.vec_id, round(sharpness + 1e-6, 4) AS sharpness, small, round(list_avg(list_transform(range(1, 65), lambda i: abs(a.px[i] - b.px[i]))), 6) AS mad, len(list_filter(range(1, 65), lambda i: abs(a.px[i] - b.px[i]) > 15))::DOUBLE AS changed
+ FROM pr JOIN t a ON a.vec_id = pr.vec_id JOIN t b ON b.vec_id = pr.nxt JOIN la ON la.vec_id = pr.vec_id JOIN sm ON sm.vec_id = pr.vec_id""")
+def F22_F26_F27_pixels(spark, sf):
+    """Sharpness, resizing and differences of pictures, as one more extractor of the registry."""
+    e = im.extract(pairs(spark, sf), ["vec_id"], "image_a", "image_b", CONFIG, {"pixels": _pixels})
+    return e.select("vec_id", F.round(F.col("pixels.sharpness") + 1e-6, 4).alias("sharpness"), F.col("pixels.small").alias("small"), F.round("pixels.mad", 6).alias("mad"), F.col("pixels.changed").alias("changed"))
