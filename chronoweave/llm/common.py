@@ -120,6 +120,18 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets no Arrow batch of the session hold much more than ``most`` bytes, on its way to Python included.
+
+    Rows may hold long texts, of which Spark's own bound gathers 64 MB a task.
+    A session that asks for less keeps its setting.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if now.rstrip("b").isdigit() and not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(key, str(most))
+
+
 def map_docs(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` over bounded batches; ``fn(batch)`` yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

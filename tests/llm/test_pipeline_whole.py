@@ -98,3 +98,14 @@ def test_whole_run(spark, tmp_path):
     for rs in sequences.values():
         rs.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in rs] == [sum(q["length"] for q in rs[:k]) for k in range(len(rs))] and sum(r["length"] for r in rs) <= 1024
+
+
+def test_empty_and_odd_runs(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, piece string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "a")).count() == 0
+    text = " ".join(f"mot{i} été" for i in range(40))
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, 0), (3, text, "fr", "s", len(text)), (3, text, "fr", "s", len(text)), (4, text, "fr", None, None), (5, "12 !?", "fr", "s", 5)]
+    spark.createDataFrame([(*r, "clash", "clash") for r in rows], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "b")).collect()
+    assert {r["doc_id"] for r in got} == {3} and sorted(r["piece"] for r in got) == list(range(len(got)))
