@@ -9,15 +9,12 @@ bucket are compared by exact cosine in double precision.
 
 Equal vectors of a label are one class; a class is filed once however many
 vectors it has.  Buckets with one class, and buckets with the same classes as
-one of an earlier table, go before any vector is shuffled.  A bucket of more
-than ``crowd`` classes is hashed anew: its classes are filed under ``FINE``
-further hashes of ``FINE_DEPTH`` projections each (a link at the threshold
-shares one of them with a computed probability of 0.98; where all tables are
-crowded, tests ask for a recall of 0.95).  So a pair at the threshold can be
-linked in a small table and missed in a large one; a larger ``crowd`` moves the
-point where this begins.  What is still large then is cut into blocks, and
-pairs of blocks are compared by matrix products, so a bucket never has to fit
-in one task; a pair that meets in several buckets is counted in the first.
+one of an earlier table, go before any vector is shuffled.  A bucket of any
+size is treated alike: it is cut into blocks, and pairs of blocks are compared
+by matrix products, so a bucket never has to fit in one task, and whether a
+pair is found depends on its two vectors alone.  Work grows with the square of
+a bucket's classes, memory does not.  A pair that meets in several buckets is
+counted in the first.
 Each block pair returns a count a class and a spanning set of links, never all
 pairs.
 
@@ -42,9 +39,6 @@ from chronoweave.llm.common import Scratch, ddl, map_docs
 from chronoweave.llm.components import connected_components
 
 
-FINE, FINE_DEPTH = 6, 4
-
-
 def keys_of(unit: np.ndarray, tables: int, depth: int, width: float, seed: int) -> np.ndarray:
     """Bucket keys (n, tables) as int64 of unit vectors (n, dim)."""
     rng = np.random.default_rng([seed, unit.shape[1], depth])
@@ -90,19 +84,14 @@ class Rows:
     """Classes that meet in some buckets, as arrays."""
 
     def __init__(self, pdf: pd.DataFrame) -> None:
-        self.cid, self.copies, self.crowded = pdf["cid"].to_numpy(), pdf["copies"].to_numpy(), pdf["crowded"].to_numpy()
+        self.cid, self.copies = pdf["cid"].to_numpy(), pdf["copies"].to_numpy()
         self.unit, self.keys = list(pdf["unit"]), np.stack(pdf["keys"])
 
-    def met_before(self, a: np.ndarray, b: np.ndarray, table: int, fine: int) -> np.ndarray:
-        """Whether pairs meet in an earlier bucket; fine: -1 in a bucket that is not crowded."""
-        x, y = self.keys[a], self.keys[b]
-        anew = x[:, -FINE:] == y[:, -FINE:]
-        at = np.arange(table)
-        plain = (self.crowded[a][:, None] >> at & 1) == 0
-        before = ((x[:, :table] == y[:, :table]) & (plain | anew.any(axis=1)[:, None])).any(axis=1)
-        return before | anew[:, : max(0, fine)].any(axis=1)
+    def met_before(self, a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
+        """Whether pairs meet in a bucket of an earlier table."""
+        return (self.keys[a, :table] == self.keys[b, :table]).any(axis=1)
 
-    def compare(self, left: np.ndarray, right: np.ndarray | None, table: int, fine: int, threshold: float) -> tuple[np.ndarray, np.ndarray, list]:
+    def compare(self, left: np.ndarray, right: np.ndarray | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, list]:
         """Two blocks of a bucket (None: one block in itself): rows, their counts, spanning links.
 
         A pair counts if no bucket before this one brings it together.
@@ -115,7 +104,7 @@ class Rows:
         fresh = np.ones(len(i), bool)
         for at in range(0, len(i), 1 << 16):
             s = slice(at, at + (1 << 16))
-            fresh[s] = ~self.met_before(a[s], b[s], table, fine)
+            fresh[s] = ~self.met_before(a[s], b[s], table)
         both = left if right is None else np.concatenate([left, right])
         count = np.zeros(len(both), np.int64)
         shift = 0 if right is None else len(left)
@@ -127,27 +116,27 @@ class Rows:
 
 def compare_buckets(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Counts (other null) and links of all buckets and block pairs of a group of rows."""
-    pdf = pdf.sort_values(["t", "fine", "label", "key", "again", "p", "q", "blk", "cid"], ignore_index=True)
+    pdf = pdf.sort_values(["t", "label", "key", "p", "q", "blk", "cid"], ignore_index=True)
     rows, n = Rows(pdf), len(pdf)
     change = np.zeros(n, bool)
     change[0] = True
-    for c in ("t", "fine", "label", "key", "again", "p", "q"):
+    for c in ("t", "label", "key", "p", "q"):
         v = pdf[c].to_numpy()
         change[1:] |= v[1:] != v[:-1]
     at = np.flatnonzero(change)
-    table, fine, p, q, blk = (pdf[c].to_numpy() for c in ("t", "fine", "p", "q", "blk"))
+    table, p, q, blk = (pdf[c].to_numpy() for c in ("t", "p", "q", "blk"))
     count, links = np.zeros(n, np.int64), []
     for a, b in zip(at.tolist(), [*at[1:].tolist(), n]):
         here = np.arange(a, b)
         if b - a < 2:
             continue
         if p[a] == q[a]:
-            found = rows.compare(here, None, int(table[a]), int(fine[a]), threshold)
+            found = rows.compare(here, None, int(table[a]), threshold)
         else:
             left, right = here[blk[here] == p[a]], here[blk[here] == q[a]]
             if not len(left) or not len(right):
                 continue
-            found = rows.compare(left, right, int(table[a]), int(fine[a]), threshold)
+            found = rows.compare(left, right, int(table[a]), threshold)
         count[found[0]] += found[1]
         links += found[2]
     some = np.flatnonzero(count)
@@ -161,9 +150,10 @@ def compare_buckets(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near(vectors: DataFrame, threshold: float = 0.98, tables: int = 24, depth: int = 8, width: float = 1.0, block: int = 1024, crowd: int = 4096, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
-    if tables > 62:
-        raise ValueError("at most 62 tables: a bit each tells which buckets are crowded")
+    """vec_id, n_links, component_id, kept for every row.
+
+    ``crowd`` is taken from older callers and changes nothing: no bucket is hashed anew.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     src = vectors.select(vectors[id_col].alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"), vectors[label_col].cast("string").alias("label"))
@@ -176,7 +166,7 @@ def near(vectors: DataFrame, threshold: float = 0.98, tables: int = 24, depth: i
         for dim in {len(rows[i]) for i in range(len(rows)) if good[i]}:
             at = [i for i in range(len(rows)) if good[i] and len(rows[i]) == dim]
             m = _matrix([rows[i] for i in at], dim)
-            for i, u, k in zip(at, m, np.concatenate([keys_of(m, tables, depth, width, seed), keys_of(m, FINE, FINE_DEPTH, width, seed + 1)], axis=1)):
+            for i, u, k in zip(at, m, keys_of(m, tables, depth, width, seed)):
                 unit[i], keys[i] = u, k
         same = [None if v is None else vt.word_hash(np.asarray(v, np.float64).tobytes()) - (1 << 63) if g else None for v, g in zip(rows, good)]
         yield {"vec_id": batch.column(0), "label": batch.column(2), "same": same, "unit": unit, "keys": keys}
@@ -185,25 +175,18 @@ def near(vectors: DataFrame, threshold: float = 0.98, tables: int = 24, depth: i
     # A class is the equal vectors of a label; cid names it.
     usable = all_.where("same is not null").withColumn("cid", F.xxhash64("label", "same"))
     classes = scratch.table(usable.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("label", "unit", "keys"), "same").alias("x")).select("cid", "rep", "copies", "x.*"))
-    filed = classes.select("cid", "label", "keys", F.posexplode(F.slice("keys", 1, tables)).alias("t", "key"))
+    filed = classes.select("cid", "label", F.posexplode("keys").alias("t", "key"))
     # Only buckets with company go on, and of buckets with the same classes the first.
     size = filed.groupBy("t", "label", "key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("cid").alias("s"), F.bit_xor(F.xxhash64("cid")).alias("x")).where("m > 1")
-    size = scratch.table(size)
     first = size.groupBy("label", "m", "s", "x").agg(F.min(F.struct("t", "key")).alias("f"))
-    buckets = scratch.table(size.where(F.col("m") > crowd).select("t", "label", "key", "m").unionByName(first.where(F.col("m") <= crowd).select("f.t", "label", "f.key", "m")))
-    plain = filed.drop("keys").join(buckets.where(F.col("m") <= crowd), ["t", "label", "key"]).select("cid", "t", F.lit(-1).alias("fine"), "label", "key", F.lit(0).cast("long").alias("again"), "m")
-    dense = filed.join(buckets.where(F.col("m") > crowd).drop("m"), ["t", "label", "key"])
-    dense = scratch.table(dense.select("cid", "t", "label", "key", F.posexplode(F.slice("keys", tables + 1, FINE)).alias("fine", "again")))
-    marks = dense.where("fine = 0").groupBy("cid").agg(F.sum(F.expr("shiftleft(1L, t)")).alias("crowded"))
-    anew = dense.groupBy("t", "label", "key", "fine", "again").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    dense = dense.join(scratch.table(anew), ["t", "label", "key", "fine", "again"]).select("cid", "t", "fine", "label", "key", "again", "m")
-    placed = plain.unionByName(dense).withColumn("blocks", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    buckets = scratch.table(first.select("f.t", "label", "f.key", "m"))
+    placed = filed.join(buckets, ["t", "label", "key"]).withColumn("blocks", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # A block meets itself and each later one: pair (p, q) takes blocks p and q.
     pairs = placed.withColumn("pair", F.expr("explode(transform(sequence(0, blocks - 1), o -> struct(least(o, blk) as p, greatest(o, blk) as q)))"))
-    pairs = scratch.table(pairs.select("cid", "t", "fine", "label", "key", "again", "blk", "pair.p", "pair.q"))
+    pairs = scratch.table(pairs.select("cid", "t", "label", "key", "blk", "pair.p", "pair.q"))
     groups = int(min(1 << 20, max(8, -(-pairs.count() // 4096))))  # of buckets, about 4096 rows each
-    known = classes.select("cid", "copies", "unit", "keys").join(marks, "cid", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0).cast("long")))
-    with_units = pairs.join(known, "cid").withColumn("g", F.pmod(F.xxhash64("t", "fine", "label", "key", "again", "p", "q"), F.lit(groups)))
+    known = classes.select("cid", "copies", "unit", "keys")
+    with_units = pairs.join(known, "cid").withColumn("g", F.pmod(F.xxhash64("t", "label", "key", "p", "q"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return compare_buckets(pdf, threshold)

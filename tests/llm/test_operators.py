@@ -358,6 +358,15 @@ def test_embedding_recall_at_the_threshold(spark):
         assert sum(got[2 * i] == got[2 * i + 1] == 1 for i in range(400)) >= least * 400
 
 
+def test_embedding_links_do_not_depend_on_the_size_of_buckets(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=64)
+    rows = [(i, (base + 0.09 * rng.normal(size=64)).tolist(), 0) for i in range(120)]  # cosines around 0.98 and over
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near(d, depth=2, tables=3, **how).collect()) for how in ({}, {"crowd": 1}, {"crowd": 1, "block": 7})]
+    assert got[0] == got[1] == got[2] and sum(n for _, n, _ in got[0]) > 1000
+
+
 def test_components_of_a_star_and_a_path(spark):
     from chronoweave.llm.common import Scratch
     from chronoweave.llm.components import connected_components
