@@ -3,7 +3,7 @@
 Kernels work on a stack of images (n, height, width) at once; an image column
 is a struct <height, width, pixels> with one gray value or three colours a
 pixel (binary or an array of numbers).  Images of one batch are stacked by
-size.  Nothing is shuffled: a task holds one Arrow batch.
+size.  Nothing is shuffled: a task works on a part of an Arrow batch at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chronoweave.operators import pixels as px
+from chronoweave.operators.batches import parts
 
+#: Pairs of pictures that are stacked at once: histograms of all cells are hundreds of times a small picture.
+STACK = 64
 #: Kernels of small blurs, in 256ths, and the tangent of 22.5 degrees in 2^-15.
 BLURS = {3: (64, 128, 64), 5: (16, 64, 96, 64, 16), 7: (8, 28, 56, 72, 56, 28, 8)}
 TANGENT = 13573
@@ -342,7 +345,7 @@ def extract(pairs: DataFrame, key: list[str], a: str, b: str, config: Config = C
             return np.concatenate([p[0] for p in parts]), [m for p in parts for m in p[1]]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 16 << 20, STACK):
             left, right = _images(batch.column(len(key))), _images(batch.column(len(key) + 1))
             logs: list[list[str]] = [[] for _ in left]
             by_size: dict[tuple, list[int]] = {}

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.batches import parts
+
+#: Tokens of the pairs of lists whose distances a task remembers.
+REMEMBERED = 1 << 19
+
 
 def edit_distance(a: Sequence[str], b: Sequence[str]) -> float:
     """1 - 2 M / (|a| + |b|), where M tokens stand in matching blocks; two empty lists are alike.
@@ -26,7 +31,8 @@ def distances(frames: DataFrame, session: str, seq: str, tokens: str, steps: Seq
     frame n places before to this one; ``b<n>_<m>`` that from the frame n places
     before to the one m places later, for the pairs in ``between``.  Null where
     there is no such frame.  One window gathers the lists, one Arrow pass
-    compares them; equal lists of a batch are compared once.
+    compares them; equal lists that a task meets one soon after another are
+    compared once.
     """
     w = Window.partitionBy(session).orderBy(seq)
     own = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
@@ -38,17 +44,23 @@ def distances(frames: DataFrame, session: str, seq: str, tokens: str, steps: Seq
     kept = [session, seq, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: dict[tuple, float] = {}
+        held = 0
+
+        def distance(x, y):
+            nonlocal held
+            if x is None or y is None:
+                return None
+            if (x, y) not in known:
+                if held > REMEMBERED:
+                    known.clear()
+                    held = 0
+                held += len(x) + len(y)
+                known[x, y] = edit_distance(x, y)
+            return known[x, y]
+
+        for batch in parts(batches):
             lists = {c: [None if v is None else tuple(v) for v in batch.column(c).to_pylist()] for c in {c for _, *p in pairs for c in p}}
-            known: dict[tuple, float] = {}
-
-            def distance(x, y):
-                if x is None or y is None:
-                    return None
-                if (x, y) not in known:
-                    known[x, y] = edit_distance(x, y)
-                return known[x, y]
-
             columns = [pa.array([distance(x, y) for x, y in zip(lists[a], lists[b])], pa.float64()) for _, a, b in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=kept + [n for n, *_ in pairs])
 

@@ -1,11 +1,13 @@
 """Stacked image kernels against pixel-by-pixel Python, and failures inside the one pass."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import images as im
 from chronoweave.operators import pixels as px
+from chronoweave.operators.batches import parts
 
 RNG = np.random.default_rng(4)
 
@@ -170,3 +172,20 @@ def test_one_pass(spark):
     assert im.extract(df.limit(0), ["i"], "a", "b").count() == 0
     assert got[0]["edge"]["a_edge_density"] > 0
     assert df.select(F.col("i")).count() == len(rows)
+
+
+def test_stacks_do_not_grow_with_batches(spark):
+    def size(a, b, c):
+        return {"n": np.full(len(a), len(a), float)}
+
+    image = F.struct(F.lit(2).alias("height"), F.lit(2).alias("width"), F.array(*[F.lit(1.0)] * 4).alias("pixels"))
+    df = spark.range(0, 1000, 1, 1).select("id", image.alias("a"), image.alias("b"))
+    got = im.extract(df, ["id"], "a", "b", extractors={"size": size}).collect()
+    assert sorted(r["id"] for r in got) == list(range(1000)) and max(r["size"]["n"] for r in got) <= im.STACK
+
+
+def test_parts_of_batches():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "t": ["x" * 100] * 999 + ["y" * 100_000]})
+    got = list(parts([batch, batch.slice(0, 0), batch.slice(990)], 10_000, 50))
+    assert [k for p in got for k in p.column(0).to_pylist()] == [*range(1000), *range(990, 1000)]
+    assert all(p.num_rows == 1 or p.num_rows <= 50 and p.nbytes <= 10_000 for p in got)
