@@ -36,7 +36,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     total = n.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__k"))
     per = n.crossJoin(total).select(F.col(label), (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight"))
-    return df.join(per, label)
+    return df.join(F.broadcast(per), label)  # a row a class: rows are not dealt by so few labels
 
 
 def fit(df: DataFrame, cols: list[str], label: str, model: str = "logistic", seed: int = 42) -> PipelineModel:
