@@ -43,6 +43,8 @@ class Forest:
         tree = np.arange(len(self.feature))
         for _ in range(int(math.log2(self.feature.shape[1])) - 1):
             f = self.feature[tree, at]
+            if (f < 0).all():  # while the forest grows, its lower levels are empty
+                break
             right = np.take_along_axis(x, np.maximum(f, 0), axis=1) > self.threshold[tree, at]
             at = np.where(f >= 0, 2 * at + right, at)
         return at
@@ -107,7 +109,12 @@ def fit(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, dep
                 held = np.full((trees, size, 2 * p), np.inf)
             both = np.concatenate([x, -x], axis=1)
             for t in range(trees):
-                np.minimum.at(held[t], at[:, t], both)
+                node = at[:, t].astype(np.int16 if size <= 1 << 15 else np.int64)
+                order = np.argsort(node, kind="stable")
+                node = node[order]
+                first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                here = node[first]
+                held[t, here] = np.minimum(held[t, here], np.minimum.reduceat(both[order], first, axis=0))
             return held
 
         ends = _pass(d, forest, live, 2 * p, ranges, "least")
@@ -122,11 +129,17 @@ def fit(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, dep
         def counts(held, x, y, at):
             if held is None:
                 held = np.zeros((trees, size, 2 + 2 * k))
+            row = np.arange(len(x))
             for t in range(trees):
                 n = at[:, t]
-                f = feature[t, n]
-                right = (np.take_along_axis(x, np.maximum(f, 0), axis=1) > threshold[t, n]) & (f >= 0)
-                np.add.at(held[t], n, np.column_stack([np.ones(len(x)), y, right, right * y[:, None]]))
+                held[t, :, 0] += np.bincount(n, minlength=size)
+                held[t, :, 1] += np.bincount(n, y, size)
+                for c in range(k):
+                    f = feature[t, n, c]
+                    right = (x[row, np.maximum(f, 0)] > threshold[t, n, c]) & (f >= 0)
+                    m = n[right]
+                    held[t, :, 2 + c] += np.bincount(m, minlength=size)
+                    held[t, :, 2 + k + c] += np.bincount(m, y[right], size)
             return held
 
         sums = _pass(d, forest, live, 2 + 2 * k, counts, "sum")

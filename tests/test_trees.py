@@ -60,3 +60,17 @@ def test_thresholds(spark):
     df = spark.createDataFrame([("math", "extra", 0.2), ("math", "forest", 0.09), ("slides", "logistic", 0.75), ("other", "logistic", 0.5), (None, "x", 0.4)], "domain string, model string, score double")
     got = [(r["threshold"], r["decision"]) for r in trees.decided(df, "domain", "model", "score").orderBy(F.desc("score")).collect()]
     assert got == [(0.76, 0), (0.5, 1), (0.5, 0), (0.2, 1), (0.1, 0)]
+
+
+def test_rows_are_not_dealt_by_their_class(spark):
+    from chronoweave.operators import learning
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        d = learning.balanced(spark.range(90).selectExpr("id", "cast(id % 3 = 0 as int) as y"), "y")
+        assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+        assert {(r["y"], r["weight"]) for r in d.collect()} == {(0, 0.75), (1, 1.5)}
+    finally:
+        spark.conf.set(key, before)
