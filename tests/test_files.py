@@ -51,3 +51,21 @@ def test_labels_and_routed_frames(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "r").iterdir() if p.is_dir()) == ["prediction=0", "prediction=1", "prediction=__HIVE_DEFAULT_PARTITION__"]
     back = readers.csv_table(spark, str(tmp_path / "k"), "group_id int, timestamp_sec int, frame_filename string, prediction int")
     assert sorted(map(str, back.collect())) == sorted(map(str, d.collect()))
+
+
+def test_groups_are_made_once_for_all_snapshots(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from chronoweave.plans import runs
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(n):
+        made.add(1)
+        return n
+
+    rows = spark.createDataFrame([(a, 1, g) for a in ("A1", "A2", "B2") for g in (1, 2)], "approach string, session long, group_id long")
+    monkeypatch.setattr(runs.gr, "summaries", lambda f: rows.withColumn("frame_count", counted("group_id")))
+    got = {(r["snapshot_id"], r["num_groups"]) for r in runs.SK7_SC9_snapshot_listing(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {("run_20240101_000000", 2), ("run_20240101_000002", 2)} and made.value == 6
