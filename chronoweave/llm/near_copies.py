@@ -8,7 +8,9 @@ look up, so SimHash alone finds but the nearest copies.
 *First links.*  Texts with equal sets are one class.  Classes within 3 SimHash
 bits, and each class with the pivot of a shingle in its prefix, are candidates;
 verified ones join classes, so a large group of near copies needs no pairs of
-its own.
+its own.  The pivot of a shingle is a set with the fewest others ahead of it: of
+copies that were edited each in its own way, the one that was edited least, and
+so the one that most of them reach.
 
 *The rest.*  Sets are ordered by one order of all shingles, the more frequent
 the later.  Of two sets that reach the similarity, the first
@@ -16,7 +18,8 @@ the later.  Of two sets that reach the similarity, the first
 so every link is met in some shingle.  Only classes that first links have not
 joined are compared, and only at shingles that can be the first they share: what
 they have in common then stands from there on in both, so a pair with too little
-left in either set is no pair of this shingle.  How frequent shingles are is
+left in either set is no pair of this shingle.  At a shingle the sets of its main
+component are met by those of the others alone.  How frequent shingles are is
 estimated on a sample of texts: any order gives the same links.
 
 *Verification.*  Every set has a sketch: a row of about two to four bits an
@@ -233,8 +236,8 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     fps = scratch.table(signed.groupBy("fp").agg(F.min("sig").alias("rep")))
     bits = simhash.class_links(fps, scratch).select("a", "b")
     same = signed.select("fp", "sig").distinct().join(fps.hint("merge"), "fp").select(F.greatest("sig", "rep").alias("a"), F.least("sig", "rep").alias("b"))
-    by = near.select("key", "sig", "n", F.xxhash64("sig", F.pmod("key", F.lit(2))).alias("h"))
-    pivot = by.groupBy("key").agg(F.min(F.struct("h", "sig", "n")).alias("p"))
+    by = near.select("key", "sig", "n", "pos", F.xxhash64("sig", F.pmod("key", F.lit(2))).alias("h"))
+    pivot = by.groupBy("key").agg(F.min(F.struct("pos", "h", "sig", "n")).alias("p"))
     pivot = scratch.table(pivot)
     star = by.join(pivot.hint("merge"), "key").where(F.least("n", "p.n") >= similarity * F.greatest("n", "p.n") - 1e-9)
     star = star.select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b"))
@@ -247,18 +250,25 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     split = near.join(group.hint("merge"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     split = scratch.table(split)
     scratch.drop(near, group)
-    apart = scratch.table(split.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
-    left = scratch.table(split.join(apart.hint("merge"), "key").join(reps.select("sig", *SHORT).hint("merge"), "sig"))
+    held = split.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    held = held.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"))
+    apart = scratch.table(held.where("x <> y").select("key", F.col("m.component").alias("main"), "least"))
+    # At the first key of a pair nothing before it is common, so what is common stands from there on in both.
+    part = similarity / (1 + similarity)
+    enough = F.col("n") - F.col("pos") >= part * (F.col("n") + F.greatest(F.col("least"), similarity * F.col("n"))) - 1e-9
+    left = split.join(apart.hint("merge"), "key").where(enough).withColumn("main", F.col("component") == F.col("main"))
+    left = scratch.table(left.drop("least").join(reps.select("sig", *SHORT).hint("merge"), "sig"))
     scratch.drop(split, apart)
-    right = left.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), *[F.col(c).alias(c + "2") for c in SHORT])
+    right = left.select("key", F.col("main").alias("side"), F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), *[F.col(c).alias(c + "2") for c in SHORT])
     # The smaller set (then the lesser signature) is on the left, so each pair is met once a key.
     fits = (F.col("component") != F.col("component2")) & (F.struct("n", "sig") < F.struct(F.col("n2").alias("n"), F.col("sig2").alias("sig"))) & (F.col("n") >= similarity * F.col("n2") - 1e-9)
-    # At the first key of a pair nothing before it is common, so what is common stands from there on in both.
-    part, ahead = similarity / (1 + similarity), F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    ahead = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in SHORT])
     fits = fits & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-6)
     smaller = left.where(F.col("n") - F.col("pos") >= 2 * part * F.col("n") - 1e-9)
-    rest = smaller.join(right.hint("merge"), "key").where(fits & (ahead >= part * (F.col("n") + F.col("n2")) - 1e-9))
+    # The main component of a key (that of most of its sets) is met by the others alone.
+    smaller = smaller.withColumn("side", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    rest = smaller.join(right.hint("merge"), ["key", "side"]).where(fits & (ahead >= part * (F.col("n") + F.col("n2")) - 1e-9))
     rest = scratch.table(rest.select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     scratch.drop(left, first)
     links = links.union(_verified(rest, reps, df, shingle, similarity, scratch))

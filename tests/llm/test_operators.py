@@ -198,6 +198,31 @@ def test_near_copies_at_the_similarity(spark, docs, empty):
     assert near_copies.components(empty).count() == 0 and near_copies.keep_one(empty).count() == 0
 
 
+def test_near_copies_of_one_text_are_joined_before_the_rest(spark, monkeypatch):
+    """Copies that were edited each in its own way: pairs of the group are not left to the join that completes it."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(150), i % 8):
+            words[at] = f"x{i}x{at}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text.split() for _, text in rows)]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    counts, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: counts.append(pairs.count()) or verified(pairs, *more))
+    got = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == set(enumerate(want))
+    assert 10 < len(set(want)) < 200 and len(counts) == 2 and counts[1] <= 20
+
+
 def test_sketches_never_outnumber_the_difference():
     rng = np.random.default_rng(3)
     groups = []
